@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, token_shards, url_rules, wu_manber
+from . import common, packing, token_shards, url_rules, wu_manber
 from .oracles import ORACLES
 
 
@@ -38,8 +38,12 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_read(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op4_wu_manber, op5_url_rules)}
+    return {f.__name__: f for f in (op1_token_shards, op4_wu_manber, op5_url_rules, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
