@@ -26,4 +26,12 @@ best AS (SELECT r, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN best USING (r)
 """
 
-ORACLES = {"op4_wu_manber": OP4, "op5_url_rules": OP5}
+OP10 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.e, d.e) AS score FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e) WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+ORACLES = {"op10_neighbours": OP10, "op4_wu_manber": OP4, "op5_url_rules": OP5}
