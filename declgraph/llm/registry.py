@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, neighbours, packing, token_shards, toxicity, url_rules, wu_manber
+from . import common, near_duplicates, neighbours, packing, token_shards, toxicity, url_rules, wu_manber
 from .oracles import ORACLES
 
 
@@ -54,12 +54,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.link(_read(spark, sf_dir, "documents"))
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op4_wu_manber, op5_url_rules, op7_toxicity, op8_packing, op10_neighbours)}
+    return {f.__name__: f for f in (op1_token_shards, op4_wu_manber, op5_url_rules, op7_toxicity, op8_packing, op9_near_duplicates, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
