@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, near_duplicates, neighbours, packing, token_shards, toxicity, url_rules, wu_manber
+from . import common, near_duplicates, neighbours, packing, privacy, token_shards, toxicity, url_rules, wu_manber
 from .oracles import ORACLES
 
 
@@ -38,6 +38,13 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_read(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.spans(_read(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in privacy.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(privacy.digest("base"), 256).alias("base_sha256"), privacy.digest("all").alias("spans"))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows that a classifier never learns from: a fifth by crc32 of the id as text; a null id is held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5, F.lit(0)) == 0
@@ -63,7 +70,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op4_wu_manber, op5_url_rules, op7_toxicity, op8_packing, op9_near_duplicates, op10_neighbours)}
+    return {f.__name__: f for f in (op1_token_shards, op4_wu_manber, op5_url_rules, op6_privacy, op7_toxicity, op8_packing, op9_near_duplicates, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
