@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: n-grams of so many bytes, hashed to 2 ** BITS features.
-ORDERS, BITS = (3, 4, 5, 6), 20
+ORDERS, BITS = (3, 5, 7), 20
 #: Rows of each class in the sample that the weights are fitted on, those with the smallest hash of their id.
 PER_CLASS = 2000
 #: A feature takes part if its log-count ratio is so many standard errors from zero.
@@ -23,51 +23,67 @@ LEAST_Z = 4.0
 #: Labels up to this number of rows (16 bytes each) are broadcast to the texts; more are joined by shuffle.
 MOST_BROADCAST = 2_000_000
 _CHUNK = 1 << 14
-_SLICE = 1 << 20
+_SLICE = 1 << 16
 _LETTERS = bytes((b | 32) if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def features(texts: list[bytes | None], wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Yields (first row, row numbers, feature numbers): the distinct features of each text, some texts at a time.
+def _numbers(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """For each order, the feature numbers of the n-grams at every place of raw."""
+    value = np.zeros(len(raw), np.uint32)
+    for n in range(1, max(ORDERS) + 1):
+        value = value[: len(raw) - n + 1] * np.uint32(0x01000193) + raw[n - 1 :] + np.uint32(n == 1)
+        if n in ORDERS:
+            mixed = (value ^ (value >> np.uint32(15))) * np.uint32(0x9E3779B1)
+            yield mixed >> np.uint32(32 - BITS)
 
-    wanted, if given, tells by feature number which to keep. Texts are lower-cased (A-Z) with signs as spaces, and zero
-    bytes around them; no n-gram holds bytes of two texts.
-    """
+
+_GAP = b"\0" * (max(ORDERS) - 1)
+
+
+def _bytes(texts: list[bytes | None]) -> np.ndarray:
+    """Texts in lower case (A-Z) with signs as spaces, and zero bytes around them: no n-gram holds bytes of two texts."""
+    return np.frombuffer(_GAP + b"".join((t or b"").translate(_LETTERS) + _GAP for t in texts), np.uint8)
+
+
+class Distinct:
+    """The distinct features of one text, without a sort: the last place that writes a feature's cell stands for it."""
+
+    def __init__(self) -> None:
+        self.cell = np.zeros(1 << BITS, np.int32)
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        numbers = np.concatenate(list(_numbers(_bytes([text]))))
+        places = np.arange(len(numbers), dtype=np.int32)
+        self.cell[numbers] = places
+        return numbers[self.cell[numbers] == places]
+
+
+def wanted_features(texts: list[bytes | None], wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, feature numbers): the distinct features of each text that wanted keeps, some texts at a time."""
     at = 0
-    gap = b"\0" * (max(ORDERS) - 1)
     while at < len(texts):
         end, size = at, 0
         while end < len(texts) and (size < _SLICE or end == at):
-            size += len(texts[end] or b"")
+            size += len(texts[end] or b"") + len(_GAP)
             end += 1
-        parts = [(t or b"").translate(_LETTERS) for t in texts[at:end]]
-        raw = np.frombuffer(gap + gap.join(parts) + gap, np.uint8)
-        starts = np.cumsum([0] + [len(p) + len(gap) for p in parts])  # of the gap before each text
-        value = np.zeros(len(raw), np.uint64)
+        starts = np.cumsum([0] + [len(t or b"") + len(_GAP) for t in texts[at:end]])
         keys = []
-        for n in range(1, max(ORDERS) + 1):
-            value = value[: len(raw) - n + 1] * np.uint64(0x100000001B3) + raw[n - 1 :] + np.uint64(n == 1)
-            if n in ORDERS:
-                number = ((value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
-                place = np.flatnonzero(wanted[number]) if wanted is not None else np.arange(len(number))
-                row = np.searchsorted(starts, place, "right") - 1
-                row = np.minimum(row, len(parts) - 1)
-                keys.append(row << BITS | number[place])
+        for number in _numbers(_bytes(texts[at:end])):
+            place = np.flatnonzero(wanted[number])
+            row = np.minimum(np.searchsorted(starts, place, "right") - 1, end - at - 1)
+            keys.append(row << BITS | number[place])
         pairs = np.unique(np.concatenate(keys))
-        yield at, at + (pairs >> BITS), pairs & ((1 << BITS) - 1)
+        yield at + (pairs >> BITS), pairs & ((1 << BITS) - 1)
         at = end
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of either class with each feature, as packed parts of the two arrays."""
-    counts, rows = np.zeros((2, 1 << BITS), np.uint32), [0, 0]
+    counts, rows, distinct = np.zeros((2, 1 << BITS), np.uint32), [0, 0], Distinct()
     for batch in batches:
-        toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        rows[0] += int((toxic == 0).sum())
-        rows[1] += int((toxic == 1).sum())
-        for _, row, number in features(batch.column(1).to_pylist()):
-            for c in (0, 1):
-                counts[c] += np.bincount(number[toxic[row] == c], minlength=1 << BITS).astype(np.uint32)
+        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows[toxic] += 1
+            counts[toxic][distinct(text.as_py())] += 1
     if sum(rows):
         parts = [(k, counts[:, k * _CHUNK : (k + 1) * _CHUNK].astype("<u8").tobytes()) for k in range((1 << BITS) // _CHUNK)]
         parts.append((-1, np.array(rows, "<u8").tobytes()))
@@ -92,7 +108,7 @@ class Model:
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         out = np.full(len(texts), self.bias)
         wanted = self.weights != 0
-        for _, row, number in features(texts, wanted):
+        for row, number in wanted_features(texts, wanted):
             out += np.bincount(row, self.weights[number], minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
@@ -122,10 +138,9 @@ def fit_weights(rows: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, pr
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on every row of docs with a label 0 or 1. Null ids and labels teach nothing; of several labels of a document
     the largest counts; null texts are empty. With less than two classes the model is the share of toxic rows alone."""
-    told = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    if told.count() <= MOST_BROADCAST:
-        told = F.broadcast(told)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(told, "id")
+    told = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
+    side = F.broadcast(told) if told.count() <= MOST_BROADCAST else told
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).join(side, "id")
     packed = rows.select("toxic", "text").mapInArrow(_count, "part int, data binary").groupBy("part").applyInArrow(_sums, "part int, data binary")
     parts = {r.part: np.frombuffer(bytes(r.data), "<u8") for r in packed.collect()}  # bounded by the number of features
     n = parts.pop(-1, np.zeros(2))
@@ -138,18 +153,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kept = rows.sparkSession.sparkContext.broadcast(strong)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distinct = Distinct()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found: list[list[int]] = [[] for _ in texts]
-            for at, row, number in features(texts, kept.value):
-                cuts = np.searchsorted(row, np.arange(at, row[-1] + 2 if len(row) else at))
-                for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False), at):
-                    found[i] = number[a:b].tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["toxic", "numbers"])
-
-    picked = [rows.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id", "text").limit(PER_CLASS) for c in (0, 1)]
-    sample = picked[0].unionAll(picked[1]).select("toxic", "text").mapInArrow(chosen, "toxic int, numbers array<long>").collect()
+            each = [distinct(t.as_py()) for t in batch.column(2)]
+            found = [n[kept.value[n]].tolist() for n in each]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["id", "toxic", "numbers"])
+
+    picked = [told.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(PER_CLASS) for c in (0, 1)]
+    ids = F.broadcast(picked[0].unionAll(picked[1]).select("id"))  # bounded by PER_CLASS
+    found = rows.join(ids, "id", "left_semi").select("id", "toxic", "text").mapInArrow(chosen, "id long, toxic int, numbers array<long>")
+    sample = found.dropDuplicates(["id"]).collect()
     toxic = np.array([r.toxic for r in sample], float)
+    if not 0 < toxic.sum() < len(toxic):
+        return Model(np.zeros(1 << BITS, np.float32), float(np.log(n[1] / n[0])))
     return fit_weights([np.array(r.numbers, np.int64) for r in sample], toxic, ratio, n[1] / n.sum())
 
 
