@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, main_text, near_duplicates, neighbours, packing, privacy, token_shards, toxicity, url_rules, wu_manber
+from . import common, main_text, near_duplicates, neighbours, packing, passages, privacy, token_shards, toxicity, url_rules, wu_manber
 from .oracles import ORACLES
 
 
@@ -26,6 +26,10 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(_read(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(_read(spark, sf_dir, "documents"))
+
+
 def op4_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wu_manber.scan(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), keep=["doc_id"])
     hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -74,7 +78,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op2_main_text, op4_wu_manber, op5_url_rules, op6_privacy, op7_toxicity, op8_packing, op9_near_duplicates, op10_neighbours)}
+    return {f.__name__: f for f in (op1_token_shards, op2_main_text, op3_passages, op4_wu_manber, op5_url_rules, op6_privacy, op7_toxicity, op8_packing, op9_near_duplicates, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
