@@ -10,7 +10,7 @@ At a similarity of 0.75 a symbol differs with probability 1/4, and more than 31
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ WORDS = 5
 SYMBOLS, CHUNK = 64, 4
 #: Symbols that may differ: one less than two for each chunk, so that a chunk with at most one is certain.
 DISTANCE = 2 * (SYMBOLS // CHUNK) - 1
-#: Documents under one key that are compared in one task; more are split into pairs of parts.
-TILE = 512
+#: Documents that are compared in one go, by signatures and in full; larger groups are split into pairs of parts.
+TILE, FULL_TILE = 512, 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.RandomState(20240229)
 _MULTIPLY = _RNG.randint(0, 2**63 - 1, SYMBOLS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,50 +93,123 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _within(every: bool):
-    """Rows come sorted by key and tile. Pairs within the distance: of those of different components all (every), else one
-    for each document, with the smallest other."""
+class _Groups:
+    """Union-find over the members of one tile; members of one component start together."""
 
-    def pairs_of(ids: np.ndarray, symbols: np.ndarray, group: np.ndarray, part: np.ndarray, mixed: bool) -> set[tuple[int, int]]:
-        found = set()
+    def __init__(self, component: list[int]):
+        first: dict[int, int] = {}
+        self.up = [first.setdefault(c, i) for i, c in enumerate(component)]
+
+    def of(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.of(i), self.of(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def _tiles(rows: DataFrame, group: str, count: str, size: int) -> DataFrame:
+    """rows, each once for every pair of parts of its group that it is in: part, and the parts x <= y. A group of up to
+    `size` rows is one part."""
+    tiles = F.ceil(F.col(count) / size).cast("int")
+    part = F.pmod(F.xxhash64("id"), tiles).cast("int")
+    placed = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    placed = placed.withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other"))
+    return placed.drop("other").withColumnRenamed(group, "key")
+
+
+def _by_tile(batches: Iterator[pa.RecordBatch], columns: list[str], find: Callable) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key, x and y; find gets the rows of one tile and gives pairs of ids."""
+    current, held, found = None, [], set()
+    for batch in batches:
+        for row in common.rows_of(batch, "key", "x", "y", *columns):
+            if row[:3] != current:
+                if len(held) > 1:
+                    found.update(find(held))
+                current, held = row[:3], []
+            held.append(row[3:])
+        if len(found) > 100_000:
+            yield common.emit(_PAIR_SCHEMA, list(zip(*sorted(found), strict=True)))
+            found = set()
+    if len(held) > 1:
+        found.update(find(held))
+    if found:
+        yield common.emit(_PAIR_SCHEMA, list(zip(*sorted(found), strict=True)))
+
+
+def _pair(a: int, b: int) -> tuple[int, int]:
+    return (a, b) if a < b else (b, a)
+
+
+def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each document of a tile within the distance of another: the nearest one, and the smallest much nearer one."""
+
+    def find(held: list[tuple]) -> Iterator[tuple[int, int]]:
+        ids = np.array([h[0] for h in held])
+        symbols = np.frombuffer(b"".join(h[1] for h in held), "<u2").reshape(len(held), -1)
         for i in range(len(ids)):
-            near = (symbols != symbols[i]).sum(1) <= DISTANCE
-            near[i] = False
-            near &= (ids != ids[i]) & ((part != part[i]) if mixed else True)
-            if every:
-                near &= group != group[i]
-                found.update((min(ids[i], x), max(ids[i], x)) for x in ids[near].tolist())
-            elif near.any():
-                x = int(ids[near].min())
-                found.add((min(ids[i], x), max(ids[i], x)))
-        return found
+            far = (symbols != symbols[i]).sum(1)
+            far[ids == ids[i]] = SYMBOLS + 1
+            nearest = far.min()
+            if nearest <= DISTANCE:
+                yield _pair(held[i][0], int(ids[far == nearest].min()))
+                if nearest <= DISTANCE // 2:
+                    yield _pair(held[i][0], int(ids[far <= DISTANCE // 2].min()))
+
+    yield from _by_tile(batches, ["id", "signature"], find)
+
+
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within the distance that bring components of a tile together; one fewer than these at most."""
+
+    def find(held: list[tuple]) -> Iterator[tuple[int, int]]:
+        component = np.array([h[2] for h in held])
+        if (component == component[0]).all():
+            return
+        groups = _Groups(component.tolist())
+        symbols = np.frombuffer(b"".join(h[1] for h in held), "<u2").reshape(len(held), -1)
+        for i in range(len(held) - 1):
+            near = np.flatnonzero(((symbols[i + 1 :] != symbols[i]).sum(1) <= DISTANCE) & (component[i + 1 :] != component[i]))
+            for j in (near + i + 1).tolist():
+                if held[i][0] != held[j][0] and groups.join(i, j):
+                    yield _pair(held[i][0], held[j][0])
+
+    yield from _by_tile(batches, ["id", "signature", "component"], find)
+
+
+def _exact(percent: int):
+    """Pairs that meet the similarity and bring components of a tile together, from products of its 0/1 matrix."""
+
+    def find(held: list[tuple]) -> Iterator[tuple[int, int]]:
+        component = np.array([h[2] for h in held])
+        if (component == component[0]).all():
+            return
+        sets = [np.frombuffer(h[1], np.uint64) for h in held]
+        sizes = np.array([len(x) for x in sets])
+        row = np.repeat(np.arange(len(sets)), sizes)
+        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row, column = row[times[column] > 1], column[times[column] > 1]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        column = np.cumsum(np.diff(column, prepend=column[:1]) > 0) if len(column) else column
+        shared = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+            lo, hi = np.searchsorted(column, (at, at + 2048))
+            part = np.zeros((len(sets), 2048), np.float32)
+            part[row[lo:hi], column[lo:hi] - at] = 1
+            shared += part @ part.T
+        counts = shared.astype(np.int64)
+        linked = 100 * counts >= percent * (sizes[:, None] + sizes[None, :] - counts)
+        groups = _Groups(component.tolist())
+        for i, j in zip(*np.nonzero(np.triu(linked & (component[:, None] != component), 1)), strict=True):
+            if groups.join(int(i), int(j)):
+                yield _pair(held[i][0], held[j][0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
-
-        def close() -> set[tuple[int, int]]:
-            if len(held) < 2:
-                return set()
-            ids = np.array([h[0] for h in held])
-            group, part = np.array([h[2] for h in held]), np.array([h[3] for h in held])
-            if every and (group == group[0]).all():
-                return set()
-            symbols = np.frombuffer(b"".join(h[1] for h in held), "<u2").reshape(len(held), -1)
-            return {(int(a), int(b)) for a, b in pairs_of(ids, symbols, group, part, current[1] != current[2])}
-
-        found: set[tuple[int, int]] = set()
-        for batch in batches:
-            for key, x, y, i, sign, group, part in common.rows_of(batch, "key", "x", "y", "id", "signature", "component", "part"):
-                if (key, x, y) != current:
-                    found |= close()
-                    current, held = (key, x, y), []
-                held.append((i, sign, group, part))
-            if len(found) > 100_000:
-                yield common.emit(_PAIR_SCHEMA, list(zip(*sorted(found), strict=True)))
-                found = set()
-        found |= close()
-        if found:
-            yield common.emit(_PAIR_SCHEMA, list(zip(*sorted(found), strict=True)))
+        yield from _by_tile(batches, ["id", "hashes", "component"], find)
 
     return run
 
@@ -179,30 +252,28 @@ def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
     keys = named.mapInArrow(_keys, "key long, id long")
     counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = common.materialize(keys.join(counts, "key"), "keys")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    part = F.pmod(F.xxhash64("id"), tiles).cast("int")
-    other = F.explode(F.sequence(F.lit(0), tiles - 1))
-    placed = shared.select("key", "id", part.alias("part"), other.alias("other"))
-    placed = placed.select("key", "id", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
+    placed = _tiles(shared, "key", "n", TILE)
 
-    def candidates(signs: DataFrame, every: bool) -> DataFrame:
-        rows = placed.join(signs, "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
-        return rows.select("key", "x", "y", "id", "signature", "component", "part").mapInArrow(_within(every), "a long, b long").distinct()
+    def compare(rows: DataFrame, columns: list[str], how: Callable) -> DataFrame:
+        dealt = rows.select("key", "x", "y", *columns).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
+        return dealt.mapInArrow(how, "a long, b long").distinct()
 
-    first = common.materialize(candidates(named.withColumn("component", F.col("id")), False), "pairs")
+    first = common.materialize(compare(placed.join(named, "id"), ["id", "signature"], _closest), "pairs")
     involved = first.select(F.col("a").alias("id")).unionAll(first.select(F.col("b").alias("id"))).distinct()
     full = common.materialize(texts.join(involved, "id", "left_semi").mapInArrow(_hash_sets, "id long, hashes binary").dropDuplicates(["id", "hashes"]), "hash-sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(full.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-        return met.mapInArrow(_confirm(percent), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-    edges = common.materialize(confirmed(first), "links")
-    groups = components(edges)
-    again = named.join(groups, named.id == groups.node, "left").select("id", "signature", F.coalesce("component", "id").alias("component"))
-    more = common.materialize(confirmed(candidates(again, True).join(first, ["a", "b"], "left_anti")), "links")
-    if more.limit(1).count():
-        groups = components(edges.unionAll(more))
+    met = first.join(full.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+    links = common.materialize(met.mapInArrow(_confirm(percent), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    groups = components(links)
+    # what may still link components: their documents within the distance, by way of others too, are compared in full
+    signs = named.join(groups, named.id == groups.node, "left").select("id", "signature", F.coalesce("component", "id").alias("component"))
+    crossing = common.materialize(compare(placed.join(signs, "id"), ["id", "signature", "component"], _crossing).select(F.col("a").alias("u"), F.col("b").alias("v")), "crossing")
+    if crossing.limit(1).count():
+        wide = components(links.unionAll(crossing)).select(F.col("node").alias("id"), F.col("component").alias("wide"))
+        several = wide.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "wide", F.coalesce("component", "id").alias("component"))
+        sizes = several.groupBy("wide").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("wide", "n")
+        dealt = _tiles(several.join(sizes, "wide"), "wide", "n", FULL_TILE).join(full, "id")
+        more = compare(dealt, ["id", "hashes", "component"], _exact(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        groups = components(links.unionAll(more))
     of_set = sets.select("print", "id").join(groups, sets.id == groups.node, "left").select("print", F.coalesce("component", "id").alias("component"))
     rows = signed.where("n > 0").select("id", "n", "print").join(of_set, "print").select("id", "n", "component")
     rows = rows.unionAll(signed.where("n = 0").select("id", "n", F.col("id").alias("component")))
