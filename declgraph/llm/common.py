@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,8 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or f"{tempfile.gettempdir()}/checkpoints").rstrip("/")
 
 
+def unique() -> str:
+    return uuid.uuid4().hex
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{unique()}"
     _written.append(path)
     return path
 
@@ -33,12 +38,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables written so far. Only for callers that know that no frame built on them is still needed."""
+@contextlib.contextmanager
+def written() -> Iterator[list[str]]:
+    """The paths of the tables that are written inside the block."""
+    before, found = len(_written), []
+    yield found
+    found += _written[before:]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that no frame still needs."""
     jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(hadoop).delete(path, True)
+    paths.clear()
 
 
 def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:

@@ -25,6 +25,8 @@ GENERALISE, REMOVE, LEAST_CONTEXTS = 0.75, 0.95, 2
 #: Candidate terms up to this number are broadcast to the counting pass; more are joined by shuffle.
 MOST_BROADCAST = 1_000_000
 
+#: Documents with spans up to this number are broadcast to the texts (some hundred bytes each); more are joined by shuffle.
+MOST_MARKED = 200_000
 KINDS = ("email", "ip", "card", "phone")
 # A look-behind or \G (the end of the last match) keeps a search from starting again at each character of a long run, and
 # possessive repeats from going back; both leave the leftmost matches as they are. Fewer than 14 digits never make a card.
@@ -153,7 +155,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     columns, rows and their number stay; a null text stays null. Of spans that overlap, one replacement is written."""
     keyed = docs.withColumn("__key", F.xxhash64(id_col, F.coalesce(text_col, F.lit(""))))
     marked = spans(docs, id_col, text_col).where(F.size("all") > 0).dropDuplicates(["key"]).select(F.col("key").alias("__k"), F.col("all").alias("__all"))
-    met = keyed.join(marked, F.col("__key") == F.col("__k"), "left")
+    marked = common.materialize(marked, "marked")
+    side = F.broadcast(marked) if marked.count() <= MOST_MARKED else marked
+    met = keyed.join(side, F.col("__key") == F.col("__k"), "left")
     text = F.col(text_col)
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,7 +79,8 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op2_main_text, op3_passages, op4_wu_manber, op5_url_rules, op6_privacy, op7_toxicity, op8_packing, op9_near_duplicates, op10_neighbours)}
+    found = {"pipeline": corpus_pipeline.run}
+    return found | {f.__name__: f for f in (op1_token_shards, op2_main_text, op3_passages, op4_wu_manber, op5_url_rules, op6_privacy, op7_toxicity, op8_packing, op9_near_duplicates, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
