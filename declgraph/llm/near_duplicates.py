@@ -72,22 +72,52 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield common.emit(_SIGNED_SCHEMA, out)
 
 
+def _key_matrix(symbols: np.ndarray) -> np.ndarray:
+    """All keys of each signature: one for each chunk and symbol left out, in the order of left-out place, then chunk."""
+    parts = symbols.reshape(len(symbols), SYMBOLS // CHUNK, CHUNK).astype(np.uint64)
+    columns = []
+    for left_out in range(CHUNK):
+        value = (np.arange(parts.shape[1], dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(left_out))[None, :].repeat(len(parts), 0)
+        for k in range(CHUNK):
+            if k != left_out:
+                value = _mixed(value * _BASE + parts[:, :, k])
+        columns.append(value)
+    return np.concatenate(columns, axis=1).view(np.int64)
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each key: chunk, symbol left out, and the chunk's other symbols."""
     for batch in batches:
         ids = batch.column(0).to_numpy()
-        if not len(ids):
-            continue
-        symbols = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(len(ids), -1, CHUNK).astype(np.uint64)
-        columns = []
-        for left_out in range(CHUNK):
-            value = (np.arange(symbols.shape[1], dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(left_out))[None, :].repeat(len(ids), 0)
-            for k in range(CHUNK):
-                if k != left_out:
-                    value = _mixed(value * _BASE + symbols[:, :, k])
-            columns.append(value)
-        keys = np.concatenate(columns, axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, keys.shape[1]))], names=["key", "id"])
+        if len(ids):
+            keys = _key_matrix(np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(len(ids), -1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, keys.shape[1]))], names=["key", "id"])
+
+
+class _Tile:
+    """Signatures of one tile; near(i) gives the members within the distance of i for which this key is the first that the
+    two share, so that of all tiles only one takes a pair."""
+
+    def __init__(self, held: list[tuple], key: tuple):
+        self.ids = np.array([h[0] for h in held])
+        self.symbols = np.frombuffer(b"".join(h[1] for h in held), "<u2").reshape(len(held), -1)
+        self.part = np.array([h[2] for h in held])
+        self.key, self.mixed = key[0], key[1] != key[2]
+        self.keys = _key_matrix(self.symbols)
+
+    def near(self, i: int, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        differ = self.symbols[start:] != self.symbols[i]
+        far = differ.sum(1)
+        ok = (far <= DISTANCE) & (self.ids[start:] != self.ids[i])
+        if self.mixed:
+            ok &= self.part[start:] != self.part[i]
+        found = np.flatnonzero(ok)
+        chunks = differ[found].reshape(len(found), SYMBOLS // CHUNK, CHUNK)
+        errors = chunks.sum(2)
+        chunk = (errors <= 1).argmax(1)
+        place = np.arange(len(found))
+        left_out = np.where(errors[place, chunk] == 1, chunks[place, chunk].argmax(1), 0)
+        first = self.keys[i, left_out * errors.shape[1] + chunk] == self.key
+        return found[first] + start, far[found[first]]
 
 
 _PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -128,14 +158,14 @@ def _by_tile(batches: Iterator[pa.RecordBatch], columns: list[str], find: Callab
         for row in common.rows_of(batch, "key", "x", "y", *columns):
             if row[:3] != current:
                 if len(held) > 1:
-                    found.update(find(held))
+                    found.update(find(held, current))
                 current, held = row[:3], []
             held.append(row[3:])
         if len(found) > 100_000:
             yield common.emit(_PAIR_SCHEMA, list(zip(*sorted(found), strict=True)))
             found = set()
     if len(held) > 1:
-        found.update(find(held))
+        found.update(find(held, current))
     if found:
         yield common.emit(_PAIR_SCHEMA, list(zip(*sorted(found), strict=True)))
 
@@ -147,43 +177,35 @@ def _pair(a: int, b: int) -> tuple[int, int]:
 def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each document of a tile within the distance of another: the nearest one, and the smallest much nearer one."""
 
-    def find(held: list[tuple]) -> Iterator[tuple[int, int]]:
-        ids = np.array([h[0] for h in held])
-        symbols = np.frombuffer(b"".join(h[1] for h in held), "<u2").reshape(len(held), -1)
-        for i in range(len(ids)):
-            far = (symbols != symbols[i]).sum(1)
-            far[ids == ids[i]] = SYMBOLS + 1
-            nearest = far.min()
-            if nearest <= DISTANCE:
-                yield _pair(held[i][0], int(ids[far == nearest].min()))
-                if nearest <= DISTANCE // 2:
-                    yield _pair(held[i][0], int(ids[far <= DISTANCE // 2].min()))
+    def find(held: list[tuple], key: tuple) -> Iterator[tuple[int, int]]:
+        tile = _Tile(held, key)
+        for i in range(len(held)):
+            near, far = tile.near(i)
+            if len(near):
+                yield _pair(held[i][0], int(tile.ids[near[far == far.min()]].min()))
+                if far.min() <= DISTANCE // 2:
+                    yield _pair(held[i][0], int(tile.ids[near[far <= DISTANCE // 2]].min()))
 
-    yield from _by_tile(batches, ["id", "signature"], find)
+    yield from _by_tile(batches, ["id", "signature", "part"], find)
 
 
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within the distance that bring components of a tile together; one fewer than these at most."""
+def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within the distance that bring a tile's documents together; one fewer than these at most."""
 
-    def find(held: list[tuple]) -> Iterator[tuple[int, int]]:
-        component = np.array([h[2] for h in held])
-        if (component == component[0]).all():
-            return
-        groups = _Groups(component.tolist())
-        symbols = np.frombuffer(b"".join(h[1] for h in held), "<u2").reshape(len(held), -1)
+    def find(held: list[tuple], key: tuple) -> Iterator[tuple[int, int]]:
+        tile, groups = _Tile(held, key), _Groups(list(range(len(held))))
         for i in range(len(held) - 1):
-            near = np.flatnonzero(((symbols[i + 1 :] != symbols[i]).sum(1) <= DISTANCE) & (component[i + 1 :] != component[i]))
-            for j in (near + i + 1).tolist():
-                if held[i][0] != held[j][0] and groups.join(i, j):
+            for j in tile.near(i, i + 1)[0].tolist():
+                if groups.join(i, j):
                     yield _pair(held[i][0], held[j][0])
 
-    yield from _by_tile(batches, ["id", "signature", "component"], find)
+    yield from _by_tile(batches, ["id", "signature", "part"], find)
 
 
 def _exact(percent: int):
     """Pairs that meet the similarity and bring components of a tile together, from products of its 0/1 matrix."""
 
-    def find(held: list[tuple]) -> Iterator[tuple[int, int]]:
+    def find(held: list[tuple], _: tuple) -> Iterator[tuple[int, int]]:
         component = np.array([h[2] for h in held])
         if (component == component[0]).all():
             return
@@ -223,7 +245,7 @@ def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for a, b, x, y in common.rows_of(batch, "a", "b", "x", "y"):
+            for a, b, x, y in common.rows_of(batch, "u", "v", "x", "y"):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * shared >= percent * (len(x) + len(y) - shared):
@@ -256,24 +278,31 @@ def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
 
     def compare(rows: DataFrame, columns: list[str], how: Callable) -> DataFrame:
         dealt = rows.select("key", "x", "y", *columns).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
-        return dealt.mapInArrow(how, "a long, b long").distinct()
-
-    first = common.materialize(compare(placed.join(named, "id"), ["id", "signature"], _closest), "pairs")
-    involved = first.select(F.col("a").alias("id")).unionAll(first.select(F.col("b").alias("id"))).distinct()
-    full = common.materialize(texts.join(involved, "id", "left_semi").mapInArrow(_hash_sets, "id long, hashes binary").dropDuplicates(["id", "hashes"]), "hash-sets")
-    met = first.join(full.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-    links = common.materialize(met.mapInArrow(_confirm(percent), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        return dealt.mapInArrow(how, "a long, b long").distinct().select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    signs = ["id", "signature", "part"]
+    # candidates: documents that pairs within the distance connect
+    wide = components(compare(placed.join(named, "id"), signs, _spanning)).select(F.col("node").alias("id"), F.col("component").alias("wide"))
+    wide = common.materialize(wide, "candidates")
+    full = texts.join(wide, "id", "left_semi").mapInArrow(_hash_sets, "id long, hashes binary").dropDuplicates(["id", "hashes"])
+    full = common.materialize(full, "hash-sets")
+    sizes = common.materialize(wide.groupBy("wide").agg(F.count("*").alias("n")), "sizes")
+    small = wide.join(sizes.where(F.col("n") <= FULL_TILE), "wide").withColumn("component", F.col("id"))
+    links = common.materialize(compare(_tiles(small, "wide", "n", FULL_TILE).join(full, "id"), ["id", "hashes", "component"], _exact(percent)), "links")
+    large = sizes.where(F.col("n") > FULL_TILE)
+    if large.limit(1).count():
+        # near copies of one another in a large group mostly meet in pairs that are confirmed first
+        inside = wide.join(large, "wide")
+        pairs = compare(placed.join(inside.select("id"), "id", "left_semi").join(named, "id"), signs, _closest)
+        met = pairs.join(full.select(F.col("id").alias("u"), F.col("hashes").alias("x")), "u").join(full.select(F.col("id").alias("v"), F.col("hashes").alias("y")), "v")
+        sure = met.mapInArrow(_confirm(percent), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        sure = common.materialize(sure, "links")
+        # what may still link their components is compared in full
+        several = inside.join(components(sure), inside.id == F.col("node"), "left").select("id", "wide", F.coalesce("component", "id").alias("component"))
+        rest = several.groupBy("wide").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("wide", "n")
+        dealt = _tiles(several.join(rest, "wide"), "wide", "n", FULL_TILE).join(full, "id")
+        links = links.unionAll(sure).unionAll(compare(dealt, ["id", "hashes", "component"], _exact(percent)))
     groups = components(links)
-    # what may still link components: their documents within the distance, by way of others too, are compared in full
-    signs = named.join(groups, named.id == groups.node, "left").select("id", "signature", F.coalesce("component", "id").alias("component"))
-    crossing = common.materialize(compare(placed.join(signs, "id"), ["id", "signature", "component"], _crossing).select(F.col("a").alias("u"), F.col("b").alias("v")), "crossing")
-    if crossing.limit(1).count():
-        wide = components(links.unionAll(crossing)).select(F.col("node").alias("id"), F.col("component").alias("wide"))
-        several = wide.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "wide", F.coalesce("component", "id").alias("component"))
-        sizes = several.groupBy("wide").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("wide", "n")
-        dealt = _tiles(several.join(sizes, "wide"), "wide", "n", FULL_TILE).join(full, "id")
-        more = compare(dealt, ["id", "hashes", "component"], _exact(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        groups = components(links.unionAll(more))
     of_set = sets.select("print", "id").join(groups, sets.id == groups.node, "left").select("print", F.coalesce("component", "id").alias("component"))
     rows = signed.where("n > 0").select("id", "n", "print").join(of_set, "print").select("id", "n", "component")
     rows = rows.unionAll(signed.where("n = 0").select("id", "n", F.col("id").alias("component")))
