@@ -128,6 +128,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
 def _term_spans(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key and term spans of the documents that have disclosing terms; a removed term has rank 4, a generalised one 5."""
     lists = terms.groupBy("key").agg(F.collect_set(F.when(F.col("remove"), F.col("term"))).alias("out"), F.collect_set(F.when(~F.col("remove"), F.col("term"))).alias("general"))
+    lists = F.broadcast(lists) if terms.select("key").distinct().count() <= MOST_MARKED else lists
     rows = docs.select(F.coalesce(text_col, F.lit("")).alias("text"), F.xxhash64(id_col, F.coalesce(text_col, F.lit(""))).alias("key")).join(lists, "key").dropDuplicates(["key"])
 
     def of(column: str, rank: int) -> Column:
