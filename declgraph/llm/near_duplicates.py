@@ -120,7 +120,7 @@ class _Tile:
         return found[first] + start, far[found[first]]
 
 
-_PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("close", pa.int32())])
 
 
 class _Groups:
@@ -170,34 +170,25 @@ def _by_tile(batches: Iterator[pa.RecordBatch], columns: list[str], find: Callab
         yield common.emit(_PAIR_SCHEMA, list(zip(*sorted(found), strict=True)))
 
 
-def _pair(a: int, b: int) -> tuple[int, int]:
-    return (a, b) if a < b else (b, a)
+def _pair(a: int, b: int, close: int = 0) -> tuple[int, int, int]:
+    return min(a, b), max(a, b), close
 
 
-def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document of a tile within the distance of another: the nearest one, and the smallest much nearer one."""
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within the distance, of two kinds. Not close: those that bring a tile's documents together, one fewer than these
+    at most. Close: for each document the nearest one, and the smallest much nearer one."""
 
-    def find(held: list[tuple], key: tuple) -> Iterator[tuple[int, int]]:
-        tile = _Tile(held, key)
+    def find(held: list[tuple], key: tuple) -> Iterator[tuple[int, int, int]]:
+        tile, groups = _Tile(held, key), _Groups(list(range(len(held))))
         for i in range(len(held)):
             near, far = tile.near(i)
+            for j in near.tolist():
+                if j > i and groups.join(i, j):
+                    yield _pair(held[i][0], held[j][0])
             if len(near):
-                yield _pair(held[i][0], int(tile.ids[near[far == far.min()]].min()))
+                yield _pair(held[i][0], int(tile.ids[near[far == far.min()]].min()), 1)
                 if far.min() <= DISTANCE // 2:
-                    yield _pair(held[i][0], int(tile.ids[near[far <= DISTANCE // 2]].min()))
-
-    yield from _by_tile(batches, ["id", "signature", "part"], find)
-
-
-def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within the distance that bring a tile's documents together; one fewer than these at most."""
-
-    def find(held: list[tuple], key: tuple) -> Iterator[tuple[int, int]]:
-        tile, groups = _Tile(held, key), _Groups(list(range(len(held))))
-        for i in range(len(held) - 1):
-            for j in tile.near(i, i + 1)[0].tolist():
-                if groups.join(i, j):
-                    yield _pair(held[i][0], held[j][0])
+                    yield _pair(held[i][0], int(tile.ids[near[far <= DISTANCE // 2]].min()), 1)
 
     yield from _by_tile(batches, ["id", "signature", "part"], find)
 
@@ -205,7 +196,7 @@ def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _exact(percent: int):
     """Pairs that meet the similarity and bring components of a tile together, from products of its 0/1 matrix."""
 
-    def find(held: list[tuple], _: tuple) -> Iterator[tuple[int, int]]:
+    def find(held: list[tuple], _: tuple) -> Iterator[tuple[int, int, int]]:
         component = np.array([h[2] for h in held])
         if (component == component[0]).all():
             return
@@ -249,8 +240,8 @@ def _confirm(percent: int):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * shared >= percent * (len(x) + len(y) - shared):
-                    kept.append((a, b))
-            yield common.emit(_PAIR_SCHEMA, list(zip(*kept, strict=True)) if kept else [[], []])
+                    kept.append((a, b, 1))
+            yield common.emit(_PAIR_SCHEMA, list(zip(*kept, strict=True)) if kept else [[], [], []])
 
     return run
 
@@ -278,30 +269,30 @@ def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
 
     def compare(rows: DataFrame, columns: list[str], how: Callable) -> DataFrame:
         dealt = rows.select("key", "x", "y", *columns).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
-        return dealt.mapInArrow(how, "a long, b long").distinct().select(F.col("a").alias("u"), F.col("b").alias("v"))
+        return dealt.mapInArrow(how, "a long, b long, close int").distinct().select(F.col("a").alias("u"), F.col("b").alias("v"), "close")
 
-    signs = ["id", "signature", "part"]
     # candidates: documents that pairs within the distance connect
-    wide = components(compare(placed.join(named, "id"), signs, _spanning)).select(F.col("node").alias("id"), F.col("component").alias("wide"))
+    pairs = common.materialize(compare(placed.join(named, "id"), ["id", "signature", "part"], _candidates), "pairs")
+    wide = components(pairs.where("close = 0")).select(F.col("node").alias("id"), F.col("component").alias("wide"))
     wide = common.materialize(wide, "candidates")
     full = texts.join(wide, "id", "left_semi").mapInArrow(_hash_sets, "id long, hashes binary").dropDuplicates(["id", "hashes"])
     full = common.materialize(full, "hash-sets")
     sizes = common.materialize(wide.groupBy("wide").agg(F.count("*").alias("n")), "sizes")
     small = wide.join(sizes.where(F.col("n") <= FULL_TILE), "wide").withColumn("component", F.col("id"))
-    links = common.materialize(compare(_tiles(small, "wide", "n", FULL_TILE).join(full, "id"), ["id", "hashes", "component"], _exact(percent)), "links")
+    links = common.materialize(compare(_tiles(small, "wide", "n", FULL_TILE).join(full, "id"), ["id", "hashes", "component"], _exact(percent)).select("u", "v"), "links")
     large = sizes.where(F.col("n") > FULL_TILE)
     if large.limit(1).count():
         # near copies of one another in a large group mostly meet in pairs that are confirmed first
         inside = wide.join(large, "wide")
-        pairs = compare(placed.join(inside.select("id"), "id", "left_semi").join(named, "id"), signs, _closest)
-        met = pairs.join(full.select(F.col("id").alias("u"), F.col("hashes").alias("x")), "u").join(full.select(F.col("id").alias("v"), F.col("hashes").alias("y")), "v")
-        sure = met.mapInArrow(_confirm(percent), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        near = pairs.where("close = 1").join(inside.select(F.col("id").alias("u")), "u", "left_semi").select("u", "v")
+        met = near.join(full.select(F.col("id").alias("u"), F.col("hashes").alias("x")), "u").join(full.select(F.col("id").alias("v"), F.col("hashes").alias("y")), "v")
+        sure = met.mapInArrow(_confirm(percent), "a long, b long, close int").select(F.col("a").alias("u"), F.col("b").alias("v"))
         sure = common.materialize(sure, "links")
         # what may still link their components is compared in full
         several = inside.join(components(sure), inside.id == F.col("node"), "left").select("id", "wide", F.coalesce("component", "id").alias("component"))
         rest = several.groupBy("wide").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("wide", "n")
         dealt = _tiles(several.join(rest, "wide"), "wide", "n", FULL_TILE).join(full, "id")
-        links = links.unionAll(sure).unionAll(compare(dealt, ["id", "hashes", "component"], _exact(percent)))
+        links = links.unionAll(sure).unionAll(compare(dealt, ["id", "hashes", "component"], _exact(percent)).select("u", "v"))
     groups = components(links)
     of_set = sets.select("print", "id").join(groups, sets.id == groups.node, "left").select("print", F.coalesce("component", "id").alias("component"))
     rows = signed.where("n > 0").select("id", "n", "print").join(of_set, "print").select("id", "n", "component")
