@@ -116,8 +116,9 @@ class Model:
 def fit_weights(rows: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, prior: float, steps: int = 300, penalty: float = 1e-3) -> Model:
     """Logistic regression on features scaled by their log-count ratio; the sample's share of either class is set right
     afterwards, so a score is a probability at the labels' own share."""
-    used, where = np.unique(np.concatenate([*rows, np.zeros(0, np.int64)]), return_inverse=True)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    used = np.unique(np.concatenate([*rows, np.zeros(0, np.int32)]))
+    where = np.concatenate([np.searchsorted(used, r).astype(np.int32) for r in rows])
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     scale = ratio[used]
     w, b = np.full(len(used), 0.1), 0.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
@@ -142,13 +143,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     side = F.broadcast(told) if told.count() <= MOST_BROADCAST else told
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).join(side, "id")
     packed = rows.select("toxic", "text").mapInArrow(_count, "part int, data binary").groupBy("part").applyInArrow(_sums, "part int, data binary")
-    parts = {r.part: np.frombuffer(bytes(r.data), "<u8") for r in packed.collect()}  # bounded by the number of features
+    parts = {r.part: np.frombuffer(bytes(r.data), "<u8").astype(np.float32 if r.part >= 0 else float) for r in packed.toLocalIterator()}  # bounded by the number of features
     n = parts.pop(-1, np.zeros(2))
     if not n.all():
         share = (n[1] + 1) / (n.sum() + 2)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
-    negative, positive = np.concatenate([parts[k].reshape(2, -1) for k in sorted(parts)], axis=1).astype(float) + 0.5
-    ratio = np.log(positive / positive.sum()) - np.log(negative / negative.sum())
+    negative, positive = np.concatenate([parts.pop(k).reshape(2, -1) for k in sorted(parts)], axis=1) + np.float32(0.5)
+    ratio = np.log(positive / positive.sum(dtype=float)) - np.log(negative / negative.sum(dtype=float))
     strong = np.abs(ratio) / np.sqrt(1 / positive + 1 / negative) >= LEAST_Z
     kept = rows.sparkSession.sparkContext.broadcast(strong)
 
@@ -156,17 +157,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         distinct = Distinct()
         for batch in batches:
             each = [distinct(t.as_py()) for t in batch.column(2)]
-            found = [n[kept.value[n]].tolist() for n in each]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["id", "toxic", "numbers"])
+            found = [n[kept.value[n]].astype("<i4").tobytes() for n in each]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["id", "toxic", "numbers"])
 
     picked = [told.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(PER_CLASS) for c in (0, 1)]
     ids = F.broadcast(picked[0].unionAll(picked[1]).select("id"))  # bounded by PER_CLASS
-    found = rows.join(ids, "id", "left_semi").select("id", "toxic", "text").mapInArrow(chosen, "id long, toxic int, numbers array<long>")
+    found = rows.join(ids, "id", "left_semi").select("id", "toxic", "text").mapInArrow(chosen, "id long, toxic int, numbers binary")
     sample = found.dropDuplicates(["id"]).collect()
     toxic = np.array([r.toxic for r in sample], float)
     if not 0 < toxic.sum() < len(toxic):
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(n[1] / n[0])))
-    return fit_weights([np.array(r.numbers, np.int64) for r in sample], toxic, ratio, n[1] / n.sum())
+    return fit_weights([np.frombuffer(bytes(r.numbers), "<i4") for r in sample], toxic, ratio, n[1] / n.sum())
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
