@@ -63,6 +63,7 @@ class Extraction:
 
     def _text(self, i: int, j: int) -> str:
         """Source of tokens i to j - 1."""
+        j = min(j, len(self.tokens))
         return self.data[self.tokens[i].start : self.tokens[j - 1].end].decode("utf-8", "replace") if j > i else ""
 
     def _after(self, i: int) -> int:
@@ -139,6 +140,8 @@ class Extraction:
             while body < end and not self._is(body, "{"):
                 body = self._after(body) if tokens[body].text in ("(", "[") else body + 1
             close = self._after(body) if body < end else end
+            if not name:
+                return i + 1
             self._emit(word, name, self._text(first, body), name, head, close, body=(body, close) if body < end else None, inherits=self._inherits(name_end, body))
             if body < end:
                 self._members(body + 1, self.match[body], [*stack, name], word, head["spi"])
