@@ -55,6 +55,13 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def arrow_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) -> None:
+    """Bound the batches that go to and from Python, for this session: workers and the JVM hold some at a time, whatever the
+    texts' length."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)
+
+
 def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
 

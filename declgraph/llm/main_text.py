@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -231,6 +233,7 @@ def main_text(source: str | None) -> str:
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
     """The columns `keep` of pages with text and n_chars (code points). One row for each row, also equal ones; null and
     empty pages give an empty text; other columns are not read; no shuffle."""
+    common.arrow_batches(pages.sparkSession)
     names = [f"k{i}" for i in range(len(keep))]
     rows = pages.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(html_col).alias("source"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])

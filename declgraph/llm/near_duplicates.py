@@ -257,6 +257,7 @@ def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
     documents share is split into tiles of bounded size; the first round takes one pair for each document of a tile, the
     second only pairs between components, so a large group of near copies never gives all its pairs.
     """
+    common.arrow_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     signed = common.materialize(texts.mapInArrow(_sign, "id long, n long, print binary, signature binary"), "signatures")
     sets = signed.where("n > 0").groupBy("print").agg(F.min("id").alias("id"), F.first("signature").alias("signature"))

@@ -167,6 +167,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     component take no part. Equal rows are candidates each for itself; a repeated query is one query. No rows, no result.
     """
     spark = vectors.sparkSession
+    common.arrow_batches(spark)
     kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("v"), is_query.alias("q")).where("i is not null and v is not null").where(good)

@@ -48,6 +48,7 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
 
 def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of every document: its ids and end_id, cut only where it is longer than capacity. Null texts are empty."""
+    common.arrow_batches(docs.sparkSession, 4000)
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(_cut(tokenizer, end_id, capacity), _PIECES)
 
 

@@ -87,12 +87,13 @@ def _entity(span: Column) -> Column:
 
 
 def _context(text: Column, span: Column) -> Column:
-    """The different terms around a span; a term that the context's edge may have cut is left out."""
-    before = F.concat(F.lit(" "), F.substring(text, 1, 0), F.substring(text, F.greatest(span["start"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(span["start"], F.lit(CONTEXT)).cast("int")))
+    """The text around a span, hashed, and its different terms; a term that the edge may have cut is left out."""
+    before = F.concat(F.lit(" "), F.substring(text, F.greatest(span["start"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(span["start"], F.lit(CONTEXT)).cast("int")))
     after = F.substring(text, (span["end"] + 1).cast("int"), F.lit(CONTEXT))
     cut_before = F.when(span["start"] > CONTEXT, F.regexp_replace(before, r"^ \p{L}+", " ")).otherwise(before)
     cut_after = F.when(F.length(after) == CONTEXT, F.regexp_replace(after, r"\p{L}++$", "")).otherwise(after)
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.concat(cut_before, F.lit(" "), cut_after)), F.lit(_TERM), F.lit(0)))
+    around = F.lower(F.concat(cut_before, F.lit(" "), cut_after))
+    return F.struct(F.xxhash64(around).alias("context"), F.array_distinct(F.regexp_extract_all(around, F.lit(_TERM), F.lit(0))).alias("terms"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -104,11 +105,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("key", F.xxhash64("id", "text"))
     spotted = rows.withColumn("base", base_spans(F.col("text")))
-    contexts = F.transform("base", lambda s: F.struct(_entity(s).alias("entity"), _context(F.col("text"), s).alias("terms")))
+    contexts = F.transform("base", lambda s: F.struct(_entity(s).alias("entity"), _context(F.col("text"), s).alias("around")))
     found = common.materialize(spotted.select("id", "key", "base", contexts.alias("contexts")), "entities")
-    seen = found.where(F.size("contexts") > 0).select("key", F.explode("contexts").alias("c")).select("key", "c.entity", "c.terms")
+    seen = found.where(F.size("contexts") > 0).select("key", F.explode("contexts").alias("c")).select("key", "c.entity", "c.around.context", "c.around.terms")
     of_entity = seen.groupBy("entity").agg(F.count_distinct("key").alias("df_e"))
-    pairs = seen.select("entity", "key", F.xxhash64("terms").alias("context"), F.explode("terms").alias("term")).distinct()
+    pairs = seen.select("entity", "key", "context", F.explode("terms").alias("term")).distinct()
     pairs = pairs.groupBy("entity", "term").agg(F.least(F.count_distinct("key"), F.count_distinct("context")).alias("c")).where(F.col("c") >= LEAST_CONTEXTS)
     pairs = common.materialize(pairs, "pairs")
     wanted = pairs.select("term").distinct()

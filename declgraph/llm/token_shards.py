@@ -170,6 +170,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     Null texts are empty; every document gets end_id. One range shuffle of ids and texts; a block holds block_tokens ids
     and block_docs documents at most, or one longer document.
     """
+    common.arrow_batches(docs.sparkSession, 4000)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
     rows.mapInArrow(_blocks(tokenizer, end_id, block_tokens, block_docs), _BLOCKS).write.option("compression", "zstd").parquet(path)
 

@@ -33,7 +33,7 @@ class ChunkEncoder:
     only. Strings of special tokens are ordinary text. Null texts are empty.
     """
 
-    def __init__(self, path: str, max_entries: int = 1_200_000):
+    def __init__(self, path: str, max_entries: int = 1_300_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -47,8 +47,8 @@ class ChunkEncoder:
         for token, i in self.tok.get_vocab(with_added_tokens=True).items():
             lengths[i] = len(token.removesuffix(suffix) if suffix else token)  # a byte-level token has a character a byte
         self.lengths, self.max_entries = lengths, max_entries
-        self.words = pa.array([], pa.large_string())  # known chunks; ids of number i are pool[start[i] : start[i] + count[i]]
-        self.pool, self.start, self.count = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.index: dict[str, int] = {}
+        self.pool, self.start, self.count = np.zeros(0, self.dtype), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     @staticmethod
     def _kind(told: dict) -> str:
@@ -62,44 +62,32 @@ class ChunkEncoder:
         return "whole"
 
     def _library(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype)
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def _add(self, chunks: list[str], count: np.ndarray, ids: list[np.ndarray]) -> None:
-        self.words = pa.concat_arrays([self.words, pa.array(chunks, pa.large_string())])
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
+        base = len(self.start)
+        self.index.update(zip(chunks, range(base, base + len(chunks)), strict=True))
+        self.start = np.concatenate([self.start, (len(self.pool) + np.cumsum(count) - count).astype(np.int32)])
+        self.count = np.concatenate([self.count, count.astype(np.int32)])
         self.pool = np.concatenate([self.pool, *ids])
 
-    def _find(self, chunks: pa.Array) -> np.ndarray:
-        """Numbers of known chunks, -1 for others."""
-        return pc.fill_null(pc.index_in(chunks, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-
     def _gather(self, each: np.ndarray, count: np.ndarray) -> np.ndarray:
-        ends = np.cumsum(count)
-        return self.pool[np.repeat(self.start[each] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
-
-    def _learn(self, new: list[str]) -> np.ndarray:
-        """Add unseen chunks and give their numbers: words with signs behind them from their two parts, the rest from the
-        library."""
-        split = [_WORD_SIGNS(x) for x in new]
-        needed = {x for x, m in zip(new, split, strict=True) if not m}
-        needed.update(m[1] for m in split if m)
-        needed.update(m[2] for m in split if m)
-        listed = list(needed)
-        at = dict(zip(listed, self._find(pa.array(listed, pa.large_string())).tolist(), strict=True))
-        base = len(self.start)
-        at.update((x, base + k) for k, x in enumerate(self._encode([x for x in listed if at[x] < 0])))
-        pairs = [(x, at[m[1]], at[m[2]]) for x, m in zip(new, split, strict=True) if m]
-        if pairs:
-            each = np.array([(b, c) for _, b, c in pairs], np.int64).ravel()
-            base = len(self.start)
-            at.update((x, base + k) for k, (x, _, _) in enumerate(pairs))
-            self._add([x for x, _, _ in pairs], self.count[each].reshape(-1, 2).sum(1), [self._gather(each, self.count[each])])
-        return np.array([at[x] for x in new], np.int64)
-
-    def _encode(self, new: list[str]) -> list[str]:
-        """Encode and add chunks; gives them in the order of their numbers. Tokens of a joined text belong to chunks by their
-        length in bytes."""
+        ends = np.cumsum(count, dtype=np.int32)  # of some megabytes of text
+        return self.pool[np.repeat(self.start[each] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Add unseen chunks: words with signs behind them from their two parts, the rest from the library."""
+        parts = [(x, m[1], m[2]) for x in new if (m := _WORD_SIGNS(x))]
+        whole = {x for x in new if x not in self.index} - {x for x, _, _ in parts}
+        whole.update(b for _, b, _ in parts)
+        whole.update(c for _, _, c in parts)
+        self._encode(list(whole.difference(self.index)))
+        if parts:
+            each = np.array([(self.index[b], self.index[c]) for _, b, c in parts], np.int64).ravel()
+            self._add([x for x, _, _ in parts], self.count[each].reshape(-1, 2).sum(1), [self._gather(each, self.count[each])])
+
+    def _encode(self, new: list[str]) -> None:
+        """Encode chunks; tokens of a joined text belong to chunks by their length in bytes."""
         if self.kind == "keep":  # what has no white space before it, or nothing else, would join its neighbours
             alone = [x for x in new if x[:1] not in (" ", "\n") or x.isspace()]
             gone = set(alone)
@@ -125,9 +113,7 @@ class ChunkEncoder:
                 joined[at:end] = [None] * (end - at)
             at = end
         each = [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(alone, add_special_tokens=False)]
-        known = [x for x in joined if x is not None] + alone
-        self._add(known, np.concatenate([*counts, np.array([len(x) for x in each], np.int64)]), [*ids, *each])
-        return known
+        self._add([x for x in joined if x is not None] + alone, np.concatenate([*counts, np.array([len(x) for x in each], np.int64)]), [*ids, *each])
 
     def _chunked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.kind == "keep":
@@ -138,16 +124,19 @@ class ChunkEncoder:
                 texts = pc.replace_substring(texts, space, " ")
             lists = pc.split_pattern(pc.ascii_lower(texts), " ")
         coded = lists.flatten().dictionary_encode()
-        words, kept = coded.dictionary, len(self.start)
-        where = self._find(words)
+        words = coded.dictionary.to_pylist()
+        get, kept = self.index.get, len(self.start)
+        where = np.array([get(w, -1) for w in words], np.int32)
         if len(new := np.flatnonzero(where < 0)):
-            where[new] = self._learn(words.take(pa.array(new)).to_pylist())
+            self._learn([words[i] for i in new])
+            where[new] = [self.index[words[i]] for i in new]
         each = where[coded.indices.to_numpy(zero_copy_only=False)]
         count = self.count[each]
         ids, ends = self._gather(each, count), np.concatenate([[0], np.cumsum(count)])
         if len(self.start) > self.max_entries:
-            self.words, self.start, self.count = self.words.slice(0, kept), self.start[:kept], self.count[:kept]
-            self.pool = self.pool[: self.start[-1] + self.count[-1] if kept else 0]
+            for x in list(self.index)[kept:]:  # in the order of their numbers
+                del self.index[x]
+            self.start, self.count, self.pool = self.start[:kept], self.count[:kept], self.pool[: self.start[kept - 1] + self.count[kept - 1] if kept else 0]
         cuts = np.asarray(lists.offsets, np.int64)
         return ids, ends[cuts - cuts[0]]
 

@@ -14,11 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: n-grams of so many bytes, hashed to 2 ** BITS features.
 ORDERS, BITS = (3, 5, 7), 20
 #: Rows of each class in the sample that the weights are fitted on, those with the smallest hash of their id.
 PER_CLASS = 2000
-#: A feature takes part if its log-count ratio is so many standard errors from zero.
+#: A feature takes part if its log-count ratio is so many standard errors above zero. What speaks against toxicity is left
+#: out: it would count its mere absence, as in short texts, for toxicity.
 LEAST_Z = 4.0
 #: Labels up to this number of rows (16 bytes each) are broadcast to the texts; more are joined by shuffle.
 MOST_BROADCAST = 2_000_000
@@ -139,6 +142,7 @@ def fit_weights(rows: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, pr
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on every row of docs with a label 0 or 1. Null ids and labels teach nothing; of several labels of a document
     the largest counts; null texts are empty. With less than two classes the model is the share of toxic rows alone."""
+    common.arrow_batches(docs.sparkSession)
     told = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
     side = F.broadcast(told) if told.count() <= MOST_BROADCAST else told
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).join(side, "id")
@@ -150,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
     negative, positive = np.concatenate([parts.pop(k).reshape(2, -1) for k in sorted(parts)], axis=1) + np.float32(0.5)
     ratio = np.log(positive / positive.sum(dtype=float)) - np.log(negative / negative.sum(dtype=float))
-    strong = np.abs(ratio) / np.sqrt(1 / positive + 1 / negative) >= LEAST_Z
+    strong = ratio / np.sqrt(1 / positive + 1 / (negative + np.float32(0.5))) >= LEAST_Z
     kept = rows.sparkSession.sparkContext.broadcast(strong)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` of docs with score (0 to 1). One row for each row; null and empty texts score as such; no shuffle."""
+    common.arrow_batches(docs.sparkSession)
     names = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(text_col).cast("binary").alias("score_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

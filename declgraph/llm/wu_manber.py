@@ -140,6 +140,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: li
     more tables, every pass is written before the next.
     """
     spark = docs.sparkSession
+    common.arrow_batches(spark)
     keep = docs.columns if keep is None else keep
     names = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(text_col).cast("binary").alias("words_text"))
