@@ -239,11 +239,11 @@ def _ranges(spark, d):
 
 
 @_query(f"""WITH r AS ({_RANGES}), p AS (SELECT id AS pid, k, s + 2 AS at_ FROM r)
-SELECT p.pid, (SELECT r.id FROM r WHERE r.k = p.k AND p.at_ >= r.s AND p.at_ < r.s + r.n ORDER BY r.n, r.id LIMIT 1) AS owner FROM p""")
+SELECT p.pid, coalesce((SELECT r.id FROM r WHERE r.k = p.k AND p.at_ >= r.s AND p.at_ < r.s + r.n ORDER BY r.n, r.id LIMIT 1), -1)::INTEGER AS owner FROM p""")
 def JN13_owner(spark, d):
     r = _ranges(spark, d)
     points = r.select(F.col("id").alias("pid"), "k", (F.col("s") + 2).alias("at_"))
-    return intervals.innermost_owner(points, r, "k", "at_", "s", "n", "id", "pid").select("pid", "owner")
+    return intervals.innermost_owner(points, r, "k", "at_", "s", "n", "id", "pid").select("pid", F.coalesce("owner", F.lit(-1)).alias("owner"))
 
 
 @_query(f"WITH r AS ({_RANGES}) SELECT a.id AS outer_id, b.id AS inner_id FROM r a JOIN r b ON a.k = b.k AND b.s >= a.s AND b.s + b.n <= a.s + a.n AND b.n < a.n")
@@ -397,9 +397,9 @@ def GR02_grade(spark, d):
 _IN = f"WITH {_ROWS}, e AS (SELECT target, origin, count(*)::BIGINT AS occurrences, max(rank_in) AS rank, arg_min({{'line': line, 'receiver': receiver}}, {{'a': -rank_in, 'b': origin_file, 'c': line, 'd': site}}) AS x FROM r WHERE origin IS NULL OR origin <> target GROUP BY 1, 2)"
 
 
-@_query(_IN + " SELECT target, origin, occurrences, rank, x.line AS line, x.receiver AS receiver FROM e")
+@_query(_IN + " SELECT target, coalesce(origin, 0) AS origin, occurrences, rank, x.line AS line, x.receiver AS receiver FROM e")
 def GR05_callers(spark, d):
-    return graph.edges_in(_graph_rows(spark, d)[1]).drop("via")
+    return graph.edges_in(_graph_rows(spark, d)[1]).drop("via").withColumn("origin", F.coalesce("origin", F.lit(0)))
 
 
 _OUT = f"""WITH {_ROWS}, u AS (SELECT *, coalesce(container = receiver, false) AS named FROM r WHERE origin IS NOT NULL AND (site_kind <> 'call' OR target_kind <> 'extension')),

@@ -56,10 +56,10 @@ def JN06_semi(spark, d):
     return _t(spark, d, "supplier").join(_t(spark, d, "nation").where("n_regionkey = 1"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select("s_suppkey")
 
 
-@_query("SELECT coalesce(a.k, b.k) AS path, a.n AS mass, b.n AS churn FROM (SELECT o_custkey AS k, count(*)::BIGINT AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT user_id AS k, count(*)::BIGINT AS n FROM events GROUP BY 1) b ON a.k = b.k")
+@_query("SELECT coalesce(a.k, b.k) AS path, coalesce(a.n, 0)::BIGINT AS mass, coalesce(b.n, 0)::BIGINT AS churn FROM (SELECT o_custkey AS k, count(*)::BIGINT AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT user_id AS k, count(*)::BIGINT AS n FROM events GROUP BY 1) b ON a.k = b.k")
 def JN20_merge_lists(spark, d):
     a = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("path")).agg(F.count("*").alias("mass"))
-    return a.join(_t(spark, d, "events").groupBy(F.col("user_id").alias("path")).agg(F.count("*").alias("churn")), "path", "full_outer")
+    return a.join(_t(spark, d, "events").groupBy(F.col("user_id").alias("path")).agg(F.count("*").alias("churn")), "path", "full_outer").select("path", F.coalesce("mass", F.lit(0)).cast("long").alias("mass"), F.coalesce("churn", F.lit(0)).cast("long").alias("churn"))
 
 
 @_query("SELECT user_id, event_id, rank_ FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id)::INTEGER AS rank_ FROM events) WHERE rank_ <= 3")
@@ -145,10 +145,10 @@ def JN11_implementations(spark, d):
 
 @_query(_IN + f""", {_PAIRS}, u2 AS (SELECT target, origin, occurrences, rank, true AS own, NULL::BIGINT AS via FROM e
 UNION ALL SELECT implementation, origin, occurrences, least(rank, 1), false, requirement FROM e JOIN i ON e.target = i.requirement WHERE origin IS NULL OR origin <> implementation)
-SELECT target, origin, max(rank) AS rank, coalesce(max(occurrences) FILTER (own), max(occurrences))::BIGINT AS occurrences FROM u2 GROUP BY 1, 2""")
+SELECT target, coalesce(origin, 0) AS origin, max(rank) AS rank, coalesce(max(occurrences) FILTER (own), max(occurrences))::BIGINT AS occurrences FROM u2 GROUP BY 1, 2""")
 def GR06_callers_with_dispatch(spark, d):
     decls, rows, conform = _graph_rows(spark, d)
-    return graph.with_dispatch_in(graph.edges_in(rows), graph.implementations(decls, conform)).select("target", "origin", "rank", "occurrences")
+    return graph.with_dispatch_in(graph.edges_in(rows), graph.implementations(decls, conform)).select("target", F.coalesce("origin", F.lit(0)).alias("origin"), "rank", "occurrences")
 
 
 @_query(_OUT + f""", {_PAIRS}, more AS (SELECT DISTINCT e.origin, implementation AS target, least(e.rank, 1) AS rank FROM e JOIN d q ON q.id = e.target JOIN i ON i.requirement = e.target WHERE q.container IN (SELECT name FROM d WHERE kind = 'protocol') AND e.origin <> implementation)
