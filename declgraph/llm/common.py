@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -62,6 +64,14 @@ def arrow_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)
 
 
+def give_back() -> None:
+    """Return memory that a reused Python worker still holds from earlier tasks to the system, where that is possible."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
 

@@ -29,7 +29,8 @@ _PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("star
 
 def _cut(tokenizer: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        common.give_back()
+        enc = encoder(tokenizer, 400_000)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             out: list[list] = [[], [], [], [], []]
@@ -48,7 +49,7 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
 
 def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of every document: its ids and end_id, cut only where it is longer than capacity. Null texts are empty."""
-    common.arrow_batches(docs.sparkSession, 4000)
+    common.arrow_batches(docs.sparkSession, 2000)
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(_cut(tokenizer, end_id, capacity), _PIECES)
 
 

@@ -18,7 +18,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _ODD = "[\x0b\x0c\x1c-\x1f\u0085  ᠎ -​    　﻿\x01]"
 _RUNS = _ODD + "|[ \t\n\r]{3}|[ \t\n\r]{2}$"
 #: Bytes of text that are encoded together, and that one call of the library gets.
-_SLICE, _CALL = 8 << 20, 1 << 16
+_SLICE, _CALL = 6 << 20, 1 << 16
 #: Letters, then signs: two pieces of either kind of tokenizer.
 _WORD_SIGNS = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([!-&(-/:-@]+)").fullmatch
 
@@ -33,7 +33,7 @@ class ChunkEncoder:
     only. Strings of special tokens are ordinary text. Null texts are empty.
     """
 
-    def __init__(self, path: str, max_entries: int = 1_300_000):
+    def __init__(self, path: str, max_entries: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -162,8 +162,8 @@ class ChunkEncoder:
 _encoders: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder per worker and tokenizer file."""
+def encoder(path: str, max_entries: int = 1_000_000) -> ChunkEncoder:
+    """One encoder per worker and tokenizer file; a million chunks take about 200 MB."""
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = ChunkEncoder(path, max_entries)
     return _encoders[path]
