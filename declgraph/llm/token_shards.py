@@ -6,6 +6,7 @@ stores blocks (so a lost or repeated task leaves no half file), in ascending ord
 
 from __future__ import annotations
 
+import gc
 import struct
 import zlib
 from collections.abc import Iterator
@@ -127,6 +128,7 @@ _BLOCK_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("base"
 
 def _blocks(tokenizer: str, end_id: int, block_tokens: int, block_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing below makes cycles, and large lists of words would be walked again and again
         enc = encoder(tokenizer)
         shard, number, base = TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
@@ -142,24 +144,27 @@ def _blocks(tokenizer: str, end_id: int, block_tokens: int, block_docs: int):
             keys.clear(), held.clear(), sizes.clear()
             return out
 
-        for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            for at, ids, cuts in enc.encode(batch.column(1)):
-                ended = np.insert(ids, cuts[1:], end_id)
-                upto = cuts + np.arange(len(cuts))
-                i, n = 0, len(cuts) - 1
-                while i < n:  # the texts that still fit in the block; one at least
-                    j = min(n, i + block_docs - len(keys), max(int(np.searchsorted(upto, upto[i] + block_tokens - total, "right")) - 1, i + (not keys)))
-                    if j > i:
-                        keys += doc_ids[at + i : at + j]
-                        held.append(ended[upto[i] : upto[j]])
-                        sizes += np.diff(upto[i : j + 1]).tolist()
-                        total += int(upto[j] - upto[i])
-                    if j < n:
-                        yield flush()
-                    i = j
-        if keys:
-            yield flush()
+        try:
+            for batch in batches:
+                doc_ids = batch.column(0).to_pylist()
+                for at, ids, cuts in enc.encode(batch.column(1)):
+                    ended = np.insert(ids, cuts[1:], end_id)
+                    upto = cuts + np.arange(len(cuts))
+                    i, n = 0, len(cuts) - 1
+                    while i < n:  # the texts that still fit in the block; one at least
+                        j = min(n, i + block_docs - len(keys), max(int(np.searchsorted(upto, upto[i] + block_tokens - total, "right")) - 1, i + (not keys)))
+                        if j > i:
+                            keys += doc_ids[at + i : at + j]
+                            held.append(ended[upto[i] : upto[j]])
+                            sizes += np.diff(upto[i : j + 1]).tolist()
+                            total += int(upto[j] - upto[i])
+                        if j < n:
+                            yield flush()
+                        i = j
+            if keys:
+                yield flush()
+        finally:
+            gc.enable()
 
     return run
 
@@ -170,9 +175,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     Null texts are empty; every document gets end_id. One range shuffle of ids and texts; a block holds block_tokens ids
     and block_docs documents at most, or one longer document.
     """
-    common.arrow_batches(docs.sparkSession, 4000)
+    common.arrow_batches(docs.sparkSession, 3600)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
-    rows.mapInArrow(_blocks(tokenizer, end_id, block_tokens, block_docs), _BLOCKS).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(_blocks(tokenizer, end_id, block_tokens, block_docs), _BLOCKS).write.option("compression", "lz4_raw").parquet(path)
 
 
 _SPAN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])

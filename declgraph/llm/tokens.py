@@ -6,6 +6,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ class ChunkEncoder:
     only. Strings of special tokens are ordinary text. Null texts are empty.
     """
 
-    def __init__(self, path: str, max_entries: int = 1_000_000):
+    def __init__(self, path: str, max_entries: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -124,9 +125,9 @@ class ChunkEncoder:
                 texts = pc.replace_substring(texts, space, " ")
             lists = pc.split_pattern(pc.ascii_lower(texts), " ")
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         get, kept = self.index.get, len(self.start)
-        where = np.array([get(w, -1) for w in words], np.int32)
+        where = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
         if len(new := np.flatnonzero(where < 0)):
             self._learn([words[i] for i in new])
             where[new] = [self.index[words[i]] for i in new]
@@ -162,8 +163,8 @@ class ChunkEncoder:
 _encoders: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str, max_entries: int = 1_000_000) -> ChunkEncoder:
-    """One encoder per worker and tokenizer file; a million chunks take about 200 MB."""
+def encoder(path: str, max_entries: int = 1_200_000) -> ChunkEncoder:
+    """One encoder per worker and tokenizer file; a million chunks take about 200 MB of memory."""
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path, max_entries)
     return _encoders[path]
