@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +72,18 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that gives memory back when its task ends, as its worker may idle beside others."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
 

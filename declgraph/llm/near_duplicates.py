@@ -259,24 +259,24 @@ def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
     """
     common.arrow_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    signed = common.materialize(texts.mapInArrow(_sign, "id long, n long, print binary, signature binary"), "signatures")
+    signed = common.materialize(texts.mapInArrow(common.tidy(_sign), "id long, n long, print binary, signature binary"), "signatures")
     sets = signed.where("n > 0").groupBy("print").agg(F.min("id").alias("id"), F.first("signature").alias("signature"))
     sets = common.materialize(sets, "sets")
     named = sets.where("id is not null").select("id", "signature")
-    keys = named.mapInArrow(_keys, "key long, id long")
+    keys = named.mapInArrow(common.tidy(_keys), "key long, id long")
     counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = common.materialize(keys.join(counts, "key"), "keys")
     placed = _tiles(shared, "key", "n", TILE)
 
     def compare(rows: DataFrame, columns: list[str], how: Callable) -> DataFrame:
         dealt = rows.select("key", "x", "y", *columns).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
-        return dealt.mapInArrow(how, "a long, b long, close int").distinct().select(F.col("a").alias("u"), F.col("b").alias("v"), "close")
+        return dealt.mapInArrow(common.tidy(how), "a long, b long, close int").distinct().select(F.col("a").alias("u"), F.col("b").alias("v"), "close")
 
     # candidates: documents that pairs within the distance connect
     pairs = common.materialize(compare(placed.join(named, "id"), ["id", "signature", "part"], _candidates), "pairs")
     wide = components(pairs.where("close = 0")).select(F.col("node").alias("id"), F.col("component").alias("wide"))
     wide = common.materialize(wide, "candidates")
-    full = texts.join(wide, "id", "left_semi").mapInArrow(_hash_sets, "id long, hashes binary").dropDuplicates(["id", "hashes"])
+    full = texts.join(wide, "id", "left_semi").mapInArrow(common.tidy(_hash_sets), "id long, hashes binary").dropDuplicates(["id", "hashes"])
     full = common.materialize(full, "hash-sets")
     sizes = common.materialize(wide.groupBy("wide").agg(F.count("*").alias("n")), "sizes")
     small = wide.join(sizes.where(F.col("n") <= FULL_TILE), "wide").withColumn("component", F.col("id"))
@@ -287,7 +287,7 @@ def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
         inside = wide.join(large, "wide")
         near = pairs.where("close = 1").join(inside.select(F.col("id").alias("u")), "u", "left_semi").select("u", "v")
         met = near.join(full.select(F.col("id").alias("u"), F.col("hashes").alias("x")), "u").join(full.select(F.col("id").alias("v"), F.col("hashes").alias("y")), "v")
-        sure = met.mapInArrow(_confirm(percent), "a long, b long, close int").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        sure = met.mapInArrow(common.tidy(_confirm(percent)), "a long, b long, close int").select(F.col("a").alias("u"), F.col("b").alias("v"))
         sure = common.materialize(sure, "links")
         # what may still link their components is compared in full
         several = inside.join(components(sure), inside.id == F.col("node"), "left").select("id", "wide", F.coalesce("component", "id").alias("component"))

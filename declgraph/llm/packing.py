@@ -27,10 +27,10 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def _cut(tokenizer: str, end_id: int, capacity: int):
+def _cut(tokenizer: str, end_id: int, capacity: int, chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.give_back()
-        enc = encoder(tokenizer, 400_000)
+        enc = encoder(tokenizer, chunks)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             out: list[list] = [[], [], [], [], []]
@@ -47,10 +47,11 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
     return run
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of every document: its ids and end_id, cut only where it is longer than capacity. Null texts are empty."""
-    common.arrow_batches(docs.sparkSession, 2000)
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(_cut(tokenizer, end_id, capacity), _PIECES)
+def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", chunks: int = 600_000) -> DataFrame:
+    """The pieces of every document: its ids and end_id, cut only where it is longer than capacity. Null texts are empty.
+    A worker remembers the ids of so many chunks of text (about 200 bytes each)."""
+    common.arrow_batches(docs.sparkSession, 2000 if chunks >= 400_000 else 500)
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(common.tidy(_cut(tokenizer, end_id, capacity, chunks)), _PIECES)
 
 
 class Packing:
@@ -212,6 +213,6 @@ def pack(pieces: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES, isl
     return dealt.groupBy("block").cogroup(state.select("block", "genome").groupBy("block")).applyInArrow(place, _PLACED)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", chunks: int = 600_000) -> DataFrame:
     """Tokenise, cut and pack: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null ids are kept."""
-    return pack(common.materialize(pieces_of(docs, tokenizer, end_id, capacity, id_col, text_col), "pieces"), capacity)
+    return pack(common.materialize(pieces_of(docs, tokenizer, end_id, capacity, id_col, text_col, chunks), "pieces"), capacity)

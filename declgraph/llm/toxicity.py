@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     told = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
     side = F.broadcast(told) if told.count() <= MOST_BROADCAST else told
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).join(side, "id")
-    packed = rows.select("toxic", "text").mapInArrow(_count, "part int, data binary").groupBy("part").applyInArrow(_sums, "part int, data binary")
+    packed = rows.select("toxic", "text").mapInArrow(common.tidy(_count), "part int, data binary").groupBy("part").applyInArrow(_sums, "part int, data binary")
     parts = {r.part: np.frombuffer(bytes(r.data), "<u8").astype(np.float32 if r.part >= 0 else float) for r in packed.toLocalIterator()}  # bounded by the number of features
     n = parts.pop(-1, np.zeros(2))
     if not n.all():
@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     picked = [told.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(PER_CLASS) for c in (0, 1)]
     ids = F.broadcast(picked[0].unionAll(picked[1]).select("id"))  # bounded by PER_CLASS
-    found = rows.join(ids, "id", "left_semi").select("id", "toxic", "text").mapInArrow(chosen, "id long, toxic int, numbers binary")
+    found = rows.join(ids, "id", "left_semi").select("id", "toxic", "text").mapInArrow(common.tidy(chosen), "id long, toxic int, numbers binary")
     sample = found.dropDuplicates(["id"]).collect()
     toxic = np.array([r.toxic for r in sample], float)
     if not 0 < toxic.sum() < len(toxic):
@@ -187,5 +187,5 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
             scores = shared.value.scores(batch.column(len(names)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*names, "score"])
 
-    scored = rows.mapInArrow(run, f"{schema}, score double" if schema else "score double")
+    scored = rows.mapInArrow(common.tidy(run), f"{schema}, score double" if schema else "score double")
     return scored.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), "score")

@@ -148,8 +148,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: li
     first = True
     for table in _tables(spark, benchmark, item_col, item_text, window, table_bytes):
         rows = rows if first else common.materialize(rows, "wu-manber")
-        rows = rows.mapInArrow(_scan(table, len(names), not first), f"{schema}, {_FOUND}")
+        rows = rows.mapInArrow(common.tidy(_scan(table, len(names), not first)), f"{schema}, {_FOUND}")
         first = False
     if first:
-        rows = rows.mapInArrow(_scan(spark.sparkContext.broadcast(WuManber([], window)), len(names), False), f"{schema}, {_FOUND}")
+        rows = rows.mapInArrow(common.tidy(_scan(spark.sparkContext.broadcast(WuManber([], window)), len(names), False)), f"{schema}, {_FOUND}")
     return rows.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), "n_words", "starts", "ends", "items")
