@@ -4,8 +4,9 @@ Every block element is a node with its characters C, tags T, link characters LC
 
     C / T * log(C / LC * T / LT, base: ln(C / (C - LC) * LC + LCb / Cb * C + e))
 
-(b: the body; zeros count as one), so links lower it. The subtree whose children have the largest sum of densities is the
-text. The least density on its path to the body is the threshold from which subtrees beside that path count as text too.
+(b: the body; zeros count as one), so links lower it. The text of a page with article or main elements is all that they hold
+besides noise. Of other pages the subtree whose children have the largest sum of densities is the text. The least density on
+its path to the body is the threshold from which subtrees beside that path count as text too, whole.
 """
 
 from __future__ import annotations
@@ -184,31 +185,27 @@ class _Page:
             if node.parent >= 0:
                 self.nodes[node.parent].sum += node.density
 
-    def _best(self, of: int, ends: list[int]) -> int:
-        """The node of a subtree with the largest sum; of equals the first; the root if no node has children."""
-        return max(range(of, ends[of]), key=lambda k: (self.nodes[k].sum, -k))
-
     def text(self) -> str:
         self._densities()
         nodes = self.nodes
         ends = list(range(1, len(nodes) + 1))  # one past the last node of a subtree
         for k in range(len(nodes) - 1, 0, -1):
             ends[nodes[k].parent] = max(ends[nodes[k].parent], ends[k])
-        root = max((k for k, n in enumerate(nodes) if n.tag in ("article", "main")), key=lambda k: (nodes[k].chars, -k), default=0)
-        if nodes[root].chars == 0:
-            root = 0
-        best = self._best(root, ends)
+        articles, upto = [], 0
+        for k, n in enumerate(nodes):
+            if k >= upto and n.tag in ("article", "main") and n.chars:
+                articles.append(k)
+                upto = ends[k]  # what is nested belongs to the outer one
+        if articles:
+            return self._join([(nodes[k].first, nodes[k].end) for k in articles])
+        best = max(range(len(nodes)), key=lambda k: (nodes[k].sum, -k))  # the first of equals; the body if no node has children
         least, path, k = nodes[best].density, {best}, best
-        while k != root:
+        while k:
             k = nodes[k].parent
             path.add(k)
             least = min(least, nodes[k].density)
-        kept, todo = [best], [c for p in path - {best} for c in nodes[p].children if c not in path]
-        while todo:
-            k = todo.pop()
-            if nodes[k].density >= least:
-                kept.append(self._best(k, ends) if nodes[k].sum else k)
-        return self._join(sorted((nodes[k].first, nodes[k].end) for k in kept))
+        beside = [c for p in path - {best} for c in nodes[p].children if c not in path and nodes[c].density >= least]
+        return self._join(sorted((nodes[k].first, nodes[k].end) for k in [best, *beside]))
 
     def _join(self, ranges: list[tuple[int, int]]) -> str:
         blocks, parts, number, upto = [], [], -1, 0
