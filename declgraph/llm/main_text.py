@@ -27,6 +27,9 @@ _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not markup: it ends at their own end tag.
 _RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp template svg math".split())
+#: Of these a slash at the end of the tag closes them at once, unless it belongs to an unquoted value.
+_FOREIGN = frozenset(("svg", "math"))
+_UNQUOTED_SLASH = re.compile(r"""=\s*[^\s"']*/$""")
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table caption thead tbody tfoot tr ul".split())
 _ENDS_P = _BLOCK - {"thead", "tbody", "tfoot", "tr", "caption", "legend", "html", "body"}
 _IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
@@ -114,6 +117,8 @@ class _Page:
                         break
                 continue
             attributes = m[3] or m[6] or ""
+            if tag in _FOREIGN and attributes.endswith("/") and not _UNQUOTED_SLASH.search(attributes):
+                continue
             if tag in _RAW:
                 close = re.compile(rf"</{re.escape(tag)}\s*[/>]", re.I).search(source, at)
                 at = source.find(">", close.start()) + 1 if close else len(source)
