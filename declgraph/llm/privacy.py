@@ -5,8 +5,8 @@ discloses an entity by its pointwise mutual information with it, as a share of t
 
     PMI(e, t) = log2(N * c(e, t) / (df(e) * df(t)))        IC(e) = log2(N / df(e))
 
-with N documents, df(x) documents that hold x, and c(e, t) documents where a context of e holds t (no more than there are
-different contexts, so that copies of a passage count once). From GENERALISE on a term becomes a general word in documents that hold e, from REMOVE on it is removed.
+with N documents, df(x) documents that hold x, and c(e, t) documents where a context of e holds t, each document counted once by
+its text, so copies are one. A term needs to be seen LEAST_CONTEXTS times with e: in so many documents or contexts of them. From GENERALISE on a term becomes a general word in documents that hold e, from REMOVE on it is removed.
 """
 
 from __future__ import annotations
@@ -100,30 +100,37 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     """(found, terms). found has a row for each row of docs: id, key (hash of id and text), base (spans). terms has the
     disclosing terms of documents: key, term, remove (else to be generalised).
 
-    Null texts are empty and have no spans; null ids are kept; equal rows share a key and count as one document for terms.
+    Null texts are empty and have no spans; null ids are kept; equal rows share a key, and equal texts count as one document for terms.
     An empty table gives none. Texts are scanned twice and only those with entities and disclosing terms are shuffled.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    rows = rows.withColumn("document", F.xxhash64("text"))
     spotted = rows.withColumn("base", base_spans(F.col("text")))
     contexts = F.transform("base", lambda s: F.struct(_entity(s).alias("entity"), _context(F.col("text"), s).alias("around")))
-    found = common.materialize(spotted.select("id", "key", "base", contexts.alias("contexts")), "entities")
-    seen = found.where(F.size("contexts") > 0).select("key", F.explode("contexts").alias("c")).select("key", "c.entity", "c.around.context", "c.around.terms")
-    of_entity = seen.groupBy("entity").agg(F.count_distinct("key").alias("df_e"))
-    pairs = seen.select("entity", "key", "context", F.explode("terms").alias("term")).distinct()
-    pairs = pairs.groupBy("entity", "term").agg(F.least(F.count_distinct("key"), F.count_distinct("context")).alias("c")).where(F.col("c") >= LEAST_CONTEXTS)
+    found = common.materialize(spotted.select("id", "key", "document", "base", contexts.alias("contexts")), "entities")
+    seen = found.where(F.size("contexts") > 0).select("key", "document", F.explode("contexts").alias("c")).select("key", "document", "c.entity", "c.around.context", "c.around.terms")
+    of_entity = seen.groupBy("entity").agg(F.count_distinct("document").alias("df_e"))
+    pairs = seen.select("entity", "document", "context", F.explode("terms").alias("term")).distinct()
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("sightings"), F.count_distinct("document").alias("c")).where(F.col("sightings") >= LEAST_CONTEXTS)
     pairs = common.materialize(pairs, "pairs")
     wanted = pairs.select("term").distinct()
     if pairs.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
-    of_term = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
-    total = float(found.count())
+    copied = found.groupBy("document").agg(F.count("*").alias("n")).where("n > 1").select("document", F.col("document").alias("copy"))
+    if copied.count() <= MOST_BROADCAST:  # texts that only one row has need no distinct
+        rows = rows.join(F.broadcast(copied), "document", "left")
+    else:
+        rows = rows.withColumn("copy", F.col("document"))
+    words = rows.select("copy", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
+    words = words.join(wanted, "term", "left_semi").groupBy("term", "copy").agg(F.count("*").alias("n"))
+    of_term = words.groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("n")).otherwise(1)).alias("df_t"))
+    total = float(found.select("document").distinct().count())
     information = F.log2(F.lit(total) / F.col("df_e"))
     share = F.log2(F.lit(total) * F.col("c") / (F.col("df_e") * F.col("df_t"))) / information
     strong = pairs.join(of_term, "term").join(of_entity, "entity").where(information > 0).withColumn("share", share).where(F.col("share") >= GENERALISE)
     held = seen.select("key", "entity").distinct()
     terms = held.join(strong.select("entity", "term", "share"), "entity").groupBy("key", "term").agg((F.max("share") >= REMOVE).alias("remove"))
-    return found.drop("contexts"), common.materialize(terms, "terms")
+    return found.drop("document", "contexts"), common.materialize(terms, "terms")
 
 
 def _term_spans(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
