@@ -11,16 +11,36 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[str] = []
 
 
+#: Rows (some tens of bytes each) up to which a side of a join is broadcast.
+MOST_SIDE = 500_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on one machine (as in
+    tests) takes a local folder; any other needs the setting, as its executors do not see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or f"{tempfile.gettempdir()}/checkpoints").rstrip("/")
 
 
+def side(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast to a join if it has few rows; else it is met by shuffle."""
+    return F.broadcast(table) if table.limit(MOST_SIDE + 1).count() <= MOST_SIDE else table
+
+
+def release(result: DataFrame, paths: list[str]) -> None:
+    """Delete those of the tables at paths that result does not read."""
+    read = result.inputFiles()
+    names = {part for file in read for part in file.split("/")}
+    remove(result.sparkSession, [p for p in paths if p.rsplit("/", 1)[-1] not in names])
+
+
 def unique() -> str:
     return uuid.uuid4().hex
 
