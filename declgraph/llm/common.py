@@ -77,6 +77,12 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def free(spark: SparkSession) -> None:
+    """Let the shuffle files of finished steps go: Spark deletes them when no frame on the driver refers to them any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def arrow_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) -> None:
     """Bound the batches that go to and from Python, for this session: workers and the JVM hold some at a time, whatever the
     texts' length."""
