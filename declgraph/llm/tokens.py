@@ -31,18 +31,20 @@ class ChunkEncoder:
     non-spaces" alone as for the whole text. Two such kinds are told by the tokenizer's own description: byte level with
     its own pattern and no normalizer; a split that removes white space after NFC and lower case. Other tokenizers get
     whole texts. The first max_entries distinct chunks are remembered, later ones are encoded anew, which changes speed
-    only. Strings of special tokens are ordinary text. Null texts are empty.
+    only. Texts that hold the string of an added token (such as an end mark) are given to the library whole, which takes it
+    as that token. Null texts are empty.
     """
 
     def __init__(self, path: str, max_entries: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4")
         self.kind = self._kind(told)
+        added = [re.escape(x["content"]) for x in told.get("added_tokens") or []]
+        self.odd = "|".join([_RUNS if self.kind == "keep" else _ODD, *(f"(?i:{x})" for x in added)])
         suffix = (told.get("model") or {}).get("end_of_word_suffix") or ""
         lengths = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), np.int64)
         for token, i in self.tok.get_vocab(with_added_tokens=True).items():
@@ -145,7 +147,7 @@ class ChunkEncoder:
         """Yields (row of the first text, ids, offsets of the texts in ids), some texts at a time."""
         texts = pc.fill_null(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, "").cast(pa.large_string())
         size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-        odd = pc.match_substring_regex(texts, _RUNS if self.kind == "keep" else _ODD).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         at = 0
         while at < len(texts):
             if self.kind == "whole" or odd[at]:
