@@ -3,7 +3,8 @@
 Pieces are dealt evenly to blocks of bounded size; each block is a packing problem of its own, evolved on several islands.
 A chromosome is a list of whole bins. Crossover injects well-filled bins of one parent into the other, removes the bins
 that hold their documents again, and best-fits the displaced documents. After an epoch each island's best chromosome
-migrates to the next island. A block whose best chromosome needs no more bins than its sum of lengths is done.
+migrates to the next island. A block whose best chromosome needs no more bins than its sum of lengths is done: where best
+fit alone reaches that bound, as it does for most blocks of many short documents, there is nothing left to evolve.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from . import common
 from .tokens import encoder
 
 BLOCK_PIECES, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 3, 2, 6, 4
+#: Sequences with this fraction of the capacity left, or more, are packed once more with those of other blocks.
+LEFT = 8
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -155,8 +158,8 @@ def evolve(lengths: list[int], capacity: int, genomes: list[bytes], rng: random.
 _ORDER = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
 _STATE = "block long, island int, lengths binary, genome binary"
 _STATE_SCHEMA = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("lengths", pa.binary()), ("genome", pa.binary())])
-_PLACED = f"{_PIECES}, sequence_id long, `offset` long"
-_PLACED_SCHEMA = pa.schema([*_PIECE_SCHEMA, ("sequence_id", pa.int64()), ("offset", pa.int64())])
+_PLACED = f"{_PIECES}, sequence_id long, `offset` long, left long"
+_PLACED_SCHEMA = pa.schema([*_PIECE_SCHEMA, ("sequence_id", pa.int64()), ("offset", pa.int64()), ("left", pa.int64())])
 
 
 def _lengths(table: pa.Table, capacity: int) -> tuple[pa.Table, np.ndarray, int]:
@@ -171,17 +174,33 @@ def pack(pieces: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES, isl
 
     pieces is read more than once and should be a table. Equal pieces are packed each for itself; with none the result is
     empty. Each group is one block (or one island of it), whose size does not grow with the input; blocks are dealt by row
-    number, so no document or length gathers in one.
+    number, so no document or length gathers in one. What blocks leave half empty is packed once more together, whole
+    sequences to a block, so that never costs a sequence.
     """
     blocks = max(1, -(-pieces.count() // block_pieces))
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
+    once = _pack_blocks(dealt.withColumn("bin", F.lit(None).cast("long")), capacity, islands, epochs)
+    if blocks == 1:
+        return once.drop("left")
+    once = common.materialize(once, "packed")
+    left = once.where(F.col("left") >= max(1, capacity // LEFT)).drop("left", "offset")
+    more = max(1, -(-left.count() // block_pieces))
+    again = left.withColumnRenamed("sequence_id", "bin").withColumn("block", F.pmod(F.xxhash64("bin"), F.lit(more)) + blocks)
+    return once.where(F.col("left") < max(1, capacity // LEFT)).drop("left").unionAll(_pack_blocks(again, capacity, islands, epochs).drop("left"))
+
+
+def _pack_blocks(dealt: DataFrame, capacity: int, islands: int, epochs: int) -> DataFrame:
+    """Pack every block by itself; where pieces have a bin already, that packing takes part in the evolution."""
 
     def begin(key: tuple, table: pa.Table) -> pa.Table:
-        _, lengths, full = _lengths(table, capacity)
+        table, lengths, full = _lengths(table, capacity)
         rest = lengths[full:].tolist()
-        genome = Packing(rest, capacity, []).fit(list(range(len(rest)))).genome()
+        genomes = [Packing(rest, capacity, []).fit(list(range(len(rest)))).genome()]
+        if not table.column("bin").null_count:
+            genomes.append(np.unique(table.column("bin").to_numpy()[full:], return_inverse=True)[1].astype("<u4").tobytes())
+        rows = [(k, g) for k in range(islands) for g in genomes]
         data = np.array(rest, "<u4").tobytes()
-        return pa.table([[key[0].as_py()] * islands, list(range(islands)), [data] * islands, [genome] * islands], schema=_STATE_SCHEMA)
+        return pa.table([[key[0].as_py()] * len(rows), [k for k, _ in rows], [data] * len(rows), [g for _, g in rows]], schema=_STATE_SCHEMA)
 
     def island(epoch: int):
         def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -201,11 +220,12 @@ def pack(pieces: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES, isl
         rest = lengths[full:].tolist()
         best = min((Packing.of(rest, capacity, g) for g in sorted(set(genomes.column("genome").to_pylist()))), key=Packing.worth)
         bins = [[i] for i in range(full)] + [[full + i for i in b] for b in best.bins]
-        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        sequence, offset, left = (np.zeros(len(lengths), np.int64) for _ in range(3))
         for b, items in enumerate(bins):
             sequence[items] = (key[0].as_py() << 24) + b
             offset[items] = np.cumsum(lengths[items]) - lengths[items]
-        return pa.table([*(table.column(f.name) for f in _PIECE_SCHEMA), sequence, offset], schema=_PLACED_SCHEMA)
+            left[items] = capacity - lengths[items].sum()
+        return pa.table([*(table.column(f.name) for f in _PIECE_SCHEMA), sequence, offset, left], schema=_PLACED_SCHEMA)
 
     state = dealt.groupBy("block").applyInArrow(begin, _STATE)
     for epoch in range(epochs):
@@ -215,4 +235,7 @@ def pack(pieces: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES, isl
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", chunks: int = 600_000) -> DataFrame:
     """Tokenise, cut and pack: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null ids are kept."""
-    return pack(common.materialize(pieces_of(docs, tokenizer, end_id, capacity, id_col, text_col, chunks), "pieces"), capacity)
+    with common.written() as tables:
+        out = pack(common.materialize(pieces_of(docs, tokenizer, end_id, capacity, id_col, text_col, chunks), "pieces"), capacity)
+    common.release(out, tables)
+    return out
