@@ -6,7 +6,7 @@ discloses an entity by its pointwise mutual information with it, as a share of t
     PMI(e, t) = log2(N * c(e, t) / (df(e) * df(t)))        IC(e) = log2(N / df(e))
 
 with N documents, df(x) documents that hold x, and c(e, t) documents where a context of e holds t, each document counted once by
-its text, so copies are one. A term needs to be seen LEAST_CONTEXTS times with e: in so many documents or contexts of them. From GENERALISE on a term becomes a general word in documents that hold e, from REMOVE on it is removed.
+its text, so copies are one. A term needs to be seen LEAST_CONTEXTS times with e: in so many documents or contexts of them. From GENERALISE on a term gives way to its class in documents that hold e, from REMOVE on it is removed.
 """
 
 from __future__ import annotations
@@ -40,13 +40,16 @@ _PATTERNS = {
 _HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _TERM = r"(?<!\p{L})\p{L}{3,}(?!\p{L})"
+#: Matches in one text from which on they are taken in stretches.
+MANY = 100
 _SPAN = "struct<start:long,rank:int,end:long,kind:string,value:string>"
 
 
 def _spans(text: Column, pattern: Column, kind: str, rank: int) -> Column:
-    """All matches as spans in code points: what lies between matches and the matches themselves, added up."""
+    """All matches as spans in code points: what lies between matches and the matches themselves, added up. Matches are taken
+    in stretches of about the root of their number, so that lists which grow by copying stay short."""
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), m.alias("value")))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    none = F.array().cast(f"array<{_SPAN}>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
@@ -54,7 +57,22 @@ def _spans(text: Column, pattern: Column, kind: str, rank: int) -> Column:
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
         return F.when(x["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).cast(f"array<{_SPAN}>").alias("out")))
 
-    return F.aggregate(pairs, begin, step, lambda acc: acc["out"])
+    def stretch(part: Column) -> Column:
+        return F.aggregate(part, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step)
+
+    def joined(each: Column) -> Column:
+        begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("bases"))
+        bases = F.aggregate(each, begin, lambda acc, e: F.struct((acc["at"] + e["at"]).alias("at"), F.concat(acc["bases"], F.array(acc["at"])).alias("bases")))["bases"]
+        moved = F.zip_with(each, bases, lambda e, base: F.transform(e["out"], lambda s: F.struct((s["start"] + base).alias("start"), s["rank"].alias("rank"), (s["end"] + base).alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
+        return F.flatten(moved)
+
+    def all_of(pairs: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(pairs).cast("double"))).cast("int"), F.lit(1))
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / size).cast("int")), lambda k: stretch(F.slice(pairs, k * size + 1, size)))
+        return joined(parts)
+
+    # the array is bound to a name, so that it is made once
+    return F.flatten(F.transform(F.array(pairs), lambda p: F.when(F.size(p) > MANY, all_of(p)).otherwise(stretch(p)["out"])))
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -159,8 +177,14 @@ def digest(of: str | Column) -> Column:
     return F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def general(term: Column) -> Column:
+    """The class that stands for a term: an acronym, a name (with a capital) or a word. Far more documents hold a term of a
+    class than the term, so the class discloses next to nothing."""
+    return F.when(term.rlike(r"^\p{Lu}+$"), "[acronym]").when(term.rlike(r"^\p{Lu}"), "[name]").otherwise("[word]")
+
+
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with entities replaced by their kind in brackets, disclosing terms generalised to [term] or removed. Other
+    """docs with entities replaced by their kind in brackets, disclosing terms generalised to their class or removed. Other
     columns, rows and their number stay; a null text stays null. Of spans that overlap, one replacement is written."""
     keyed = docs.withColumn("__key", F.xxhash64(id_col, F.coalesce(text_col, F.lit(""))))
     marked = spans(docs, id_col, text_col).where(F.size("all") > 0).dropDuplicates(["key"]).select(F.col("key").alias("__k"), F.col("all").alias("__all"))
@@ -171,7 +195,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        word = F.when(s["rank"] == 4, F.lit("")).otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
+        word = F.when(s["rank"] == 4, F.lit("")).when(s["rank"] == 5, general(s["value"])).otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
         new = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), word)
         inside = s["start"] < acc["at"]
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(new).alias("out"))

@@ -11,20 +11,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 #: n-grams of so many bytes, hashed to 2 ** BITS features.
-ORDERS, BITS = (3, 5, 7), 20
+ORDERS, BITS = (3, 4, 5, 6), 20
 #: Rows of each class in the sample that the weights are fitted on, those with the smallest hash of their id.
 PER_CLASS = 2000
-#: A feature takes part if its log-count ratio is so many standard errors above zero. What speaks against toxicity is left
-#: out: it would count its mere absence, as in short texts, for toxicity.
+#: A feature takes part if its log-count ratio, of either sign, is so many standard errors from zero: nearer ones are counts
+#: that chance explains, and a sample of PER_CLASS rows would fit weights to them.
 LEAST_Z = 4.0
 #: Labels up to this number of rows (16 bytes each) are broadcast to the texts; more are joined by shuffle.
 MOST_BROADCAST = 2_000_000
+#: Tasks whose counts (256 KB each) are added up together, and rounds of that: enough for FAN_IN ** ROUNDS tasks.
+FAN_IN, ROUNDS = 64, 3
 _CHUNK = 1 << 14
 _SLICE = 1 << 16
 _LETTERS = bytes((b | 32) if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -80,6 +83,9 @@ def wanted_features(texts: list[bytes | None], wanted: np.ndarray) -> Iterator[t
         at = end
 
 
+_COUNTS = "part int, task int, data binary"
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of either class with each feature, as packed parts of the two arrays."""
     counts, rows, distinct = np.zeros((2, 1 << BITS), np.uint32), [0, 0], Distinct()
@@ -90,15 +96,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if sum(rows):
         parts = [(k, counts[:, k * _CHUNK : (k + 1) * _CHUNK].astype("<u8").tobytes()) for k in range((1 << BITS) // _CHUNK)]
         parts.append((-1, np.array(rows, "<u8").tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([d for _, d in parts], pa.binary())], names=["part", "data"])
+        task = [TaskContext.get().partitionId()] * len(parts)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array(task, pa.int32()), pa.array([d for _, d in parts], pa.binary())], names=["part", "task", "data"])
 
 
 def _sums(table: pa.Table) -> pa.Table:
-    total = None
-    for data in table.column("data").to_pylist():
-        got = np.frombuffer(data, "<u8")
-        total = got.copy() if total is None else total + got
-    return pa.table([pa.array([table.column("part")[0].as_py()], pa.int32()), pa.array([total.astype("<u8").tobytes()], pa.binary())], names=["part", "data"])
+    """One row for the rows of a part, at most FAN_IN."""
+    total = sum(np.frombuffer(data, "<u8") for data in table.column("data").to_pylist())
+    return pa.table([table.column("part")[:1], table.column("task")[:1], pa.array([total.astype("<u8").tobytes()], pa.binary())], names=["part", "task", "data"])
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    """The counts of all tasks, in rounds: no group holds more than FAN_IN rows, however many tasks there are."""
+    counts = rows.mapInArrow(common.tidy(_count), _COUNTS)
+    for _ in range(ROUNDS):
+        counts = counts.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")).groupBy("part", "task").applyInArrow(_sums, _COUNTS)
+    return counts
 
 
 @dataclass
@@ -146,15 +159,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     told = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
     side = F.broadcast(told) if told.count() <= MOST_BROADCAST else told
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).join(side, "id")
-    packed = rows.select("toxic", "text").mapInArrow(common.tidy(_count), "part int, data binary").groupBy("part").applyInArrow(_sums, "part int, data binary")
-    parts = {r.part: np.frombuffer(bytes(r.data), "<u8").astype(np.float32 if r.part >= 0 else float) for r in packed.toLocalIterator()}  # bounded by the number of features
+    packed = _added(rows.select("toxic", "text"))
+    parts: dict[int, np.ndarray] = {}
+    for r in packed.toLocalIterator():  # bounded by the number of features
+        parts[r.part] = parts.get(r.part, 0) + np.frombuffer(bytes(r.data), "<u8").astype(np.float32 if r.part >= 0 else float)
     n = parts.pop(-1, np.zeros(2))
     if not n.all():
         share = (n[1] + 1) / (n.sum() + 2)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
     negative, positive = np.concatenate([parts.pop(k).reshape(2, -1) for k in sorted(parts)], axis=1) + np.float32(0.5)
     ratio = np.log(positive / positive.sum(dtype=float)) - np.log(negative / negative.sum(dtype=float))
-    strong = ratio / np.sqrt(1 / positive + 1 / (negative + np.float32(0.5))) >= LEAST_Z
+    strong = np.abs(ratio) / np.sqrt(1 / positive + 1 / negative) >= LEAST_Z
     kept = rows.sparkSession.sparkContext.broadcast(strong)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
