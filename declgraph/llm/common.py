@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -78,9 +79,12 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
 
 
 def free(spark: SparkSession) -> None:
-    """Let the shuffle files of finished steps go: Spark deletes them when no frame on the driver refers to them any more."""
+    """Let the shuffle files of finished steps go: Spark deletes them when no frame on the driver refers to them any more. The
+    second collection sees what the first one, and Python's own, have let go in the meantime."""
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.5)
+    spark._jvm.System.gc()
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) -> None:
