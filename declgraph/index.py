@@ -260,8 +260,7 @@ class Index:
         return self.spark.sql(text.rstrip().rstrip(";"))
 
     def recipe(self, name: str) -> DataFrame:
-        self.views()
-        return self.spark.sql(reports.RECIPES[name])
+        return reports.recipe(name, {t: self.table(t) for t in schema.TABLES})
 
     def stats(self, path: str | None = None, top: int = 10) -> dict[str, DataFrame]:
         """Sections of the shape report; each is lazy, so one that is not read runs nothing."""

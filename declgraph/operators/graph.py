@@ -22,6 +22,36 @@ def conforming(conformances: DataFrame) -> DataFrame:
     return one.unionByName(two).distinct()
 
 
+def protocols(decls: DataFrame) -> DataFrame:
+    """name of every protocol."""
+    return decls.where(F.col("kind") == "protocol").select("name").distinct()
+
+
+def sites_disabled(told: str | None, sites: DataFrame) -> bool:
+    """Whether call sites are not indexed, rather than absent: as the index tells; an index that does not is judged by whether
+    it has any."""
+    return told == "off" if told is not None else not sites.limit(1).count()
+
+
+def placed_sites(sites: DataFrame, decls: DataFrame, files: DataFrame) -> DataFrame:
+    """Sites with their file's path (site_file), and the id (origin) and path (origin_file) of the calling declaration; the
+    latter are null at file scope."""
+    here = files.select(F.col("id").alias("file_id"), F.col("path").alias("site_file"))
+    of = decls.select(F.col("id").alias("from_decl"), F.col("decl_id").alias("origin"), F.col("file_id").alias("o_file"))
+    there = files.select(F.col("id").alias("o_file"), F.col("path").alias("origin_file"))
+    return sites.join(here, "file_id").join(of, "from_decl", "left").join(there, "o_file", "left").drop("o_file")
+
+
+def property_types(sites: DataFrame, decls: DataFrame) -> DataFrame:
+    """sites (receiver, origin_container) with property_type: what follows the colon of a property of the receiver's name, in
+    the same container first, of equal ones the first."""
+    named = decls.where(F.col("kind").isin("var", "let")).select("id", "container", F.col("name").alias("receiver"), F.regexp_extract("signature", _PROPERTY_TYPE, 1).alias("t")).where("t <> ''")
+    own = named.groupBy("receiver", F.col("container").alias("origin_container")).agg(F.min_by("t", "id").alias("own_type"))
+    anywhere = named.groupBy("receiver").agg(F.min_by("t", "id").alias("any_type"))
+    found = sites.join(own, ["receiver", "origin_container"], "left").join(anywhere, "receiver", "left")
+    return found.withColumn("property_type", F.coalesce("own_type", "any_type")).drop("own_type", "any_type")
+
+
 def typed_sites(sites: DataFrame, decls: DataFrame, bindings: DataFrame) -> DataFrame:
     """Sites of declared names with origin_container, receiver (self and Self as none) and receiver_type.
 
@@ -31,12 +61,9 @@ def typed_sites(sites: DataFrame, decls: DataFrame, bindings: DataFrame) -> Data
     receiver = F.when(~F.col("receiver").isin("self", "Self"), F.col("receiver"))
     s = sites.join(decls.select("name").distinct(), "name", "left_semi").join(origin, "from_decl", "left").withColumn("receiver", receiver)
     bound = bindings.groupBy("from_decl", F.col("name").alias("receiver")).agg(F.min_by("type", F.struct("line", "type")).alias("bound_type"))
-    named = decls.where(F.col("kind").isin("var", "let")).select("id", "container", F.col("name").alias("receiver"), F.regexp_extract("signature", _PROPERTY_TYPE, 1).alias("t")).where("t <> ''")
-    own = named.groupBy("receiver", F.col("container").alias("origin_container")).agg(F.min_by("t", "id").alias("own_type"))
-    anywhere = named.groupBy("receiver").agg(F.min_by("t", "id").alias("any_type"))
-    s = s.join(bound, ["from_decl", "receiver"], "left").join(own, ["receiver", "origin_container"], "left").join(anywhere, "receiver", "left")
-    kind = F.when(F.col("receiver").rlike(_IDENTIFIER), F.coalesce("bound_type", "own_type", "any_type"))
-    return s.withColumn("receiver_type", kind).drop("bound_type", "own_type", "any_type")
+    s = property_types(s.join(bound, ["from_decl", "receiver"], "left"), decls)
+    kind = F.when(F.col("receiver").rlike(_IDENTIFIER), F.coalesce("bound_type", "property_type"))
+    return s.withColumn("receiver_type", kind).drop("bound_type", "property_type")
 
 
 def grade(unique: Column) -> Column:
@@ -59,8 +86,8 @@ def candidates(sites: DataFrame, decls: DataFrame, bindings: DataFrame, conforma
     counts = decls.groupBy("name").agg(F.count("*").alias("n_all"), usable.alias("n_calls"))
     d = decls.select("name", F.col("id").alias("target"), "container", "file_id", F.col("kind").alias("target_kind")).join(counts, "name")
     parents = conforming(conformances).select(F.col("type_name").alias("container"), F.col("parent").alias("receiver_type"), F.lit(True).alias("conforms"))
-    protocols = decls.where(F.col("kind") == "protocol").select(F.col("name").alias("receiver_type"), F.lit(True).alias("known_protocol")).distinct()
-    rows = s.join(d, "name").join(parents, ["container", "receiver_type"], "left").join(protocols, "receiver_type", "left")
+    known = protocols(decls).select(F.col("name").alias("receiver_type"), F.lit(True).alias("known_protocol"))
+    rows = s.join(d, "name").join(parents, ["container", "receiver_type"], "left").join(known, "receiver_type", "left")
     rows = rows.withColumn("conforms", F.coalesce("conforms", F.lit(False))).withColumn("known_protocol", F.coalesce("known_protocol", F.lit(False)))
     out_unique = F.when(F.col("site_kind") == "call", F.col("n_calls")).otherwise(F.col("n_all")) == 1
     return rows.withColumn("rank_in", grade(F.col("n_all") == 1)).withColumn("rank_out", grade(out_unique))
@@ -73,14 +100,22 @@ def edges_in(rows: DataFrame) -> DataFrame:
     return kept.groupBy("target", "origin").agg(F.count("*").alias("occurrences"), F.max("rank_in").alias("rank"), best.alias("b")).select("target", "origin", "occurrences", "rank", F.col("b.line").alias("line"), F.col("b.receiver").alias("receiver"), F.lit(None).cast("long").alias("via"))
 
 
+def only_named(rows: DataFrame) -> DataFrame:
+    """Of sites whose receiver names the container of candidates, these only."""
+    named = F.coalesce(F.col("container") == F.col("receiver"), F.lit(False))
+    return rows.withColumn("named", named).withColumn("any_named", F.max("named").over(Window.partitionBy("site"))).where("named or not any_named").drop("named", "any_named")
+
+
+def only_sure(rows: DataFrame) -> DataFrame:
+    """Of sites with sure candidates, these only."""
+    return rows.withColumn("best", F.max("rank_out").over(Window.partitionBy("site"))).where(f"best < {HIGH} or rank_out = {HIGH}").drop("best")
+
+
 def edges_out(rows: DataFrame) -> DataFrame:
     """(origin, target) edges as an origin sees its callees. A site whose receiver names the container of candidates keeps
     only those; a site with sure candidates keeps only these; line and receiver are those of the first site."""
-    site = Window.partitionBy("site")
     usable = rows.where(F.col("origin").isNotNull() & ((F.col("site_kind") != "call") | (F.col("target_kind") != "extension")))
-    named = F.coalesce(F.col("container") == F.col("receiver"), F.lit(False))
-    narrowed = usable.withColumn("named", named).withColumn("any_named", F.max("named").over(site)).where("named or not any_named")
-    others = narrowed.where("origin <> target").withColumn("best", F.max("rank_out").over(site)).where(f"best < {HIGH} or rank_out = {HIGH}")
+    others = only_sure(only_named(usable).where("origin <> target"))
     first = F.min_by(F.struct("line", "receiver"), F.struct("line", "site"))
     return others.groupBy("origin", "target").agg(F.count("*").alias("occurrences"), F.max("rank_out").alias("rank"), first.alias("b")).select("origin", "target", "occurrences", "rank", F.col("b.line").alias("line"), F.col("b.receiver").alias("receiver"), F.lit(None).cast("long").alias("via"))
 
@@ -94,6 +129,11 @@ def implementations(decls: DataFrame, conformances: DataFrame) -> DataFrame:
     return pairs.where("type_name <> protocol_name").select("requirement", "implementation").distinct()
 
 
+def requirements(decls: DataFrame, conformances: DataFrame) -> DataFrame:
+    """(implementation, requirement): the members of protocols that a member fulfils."""
+    return implementations(decls, conformances).select("implementation", "requirement")
+
+
 def with_dispatch_in(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Callers of a requirement also reach its implementations, at medium at most and only where strictly better."""
     capped = F.least("rank", F.lit(MEDIUM))
@@ -107,8 +147,7 @@ def with_dispatch_in(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def with_dispatch_out(edges: DataFrame, decls: DataFrame, pairs: DataFrame) -> DataFrame:
     """Who calls a requirement may call its implementations, at medium at most, unless the edge is there already."""
-    protocols = decls.where(F.col("kind") == "protocol").select(F.col("name").alias("container")).distinct()
-    abstract = decls.join(protocols, "container", "left_semi").select(F.col("id").alias("target"))
+    abstract = decls.join(protocols(decls).withColumnRenamed("name", "container"), "container", "left_semi").select(F.col("id").alias("target"))
     reached = edges.join(abstract, "target", "left_semi").join(pairs, edges.target == pairs.requirement)
     more = reached.select("origin", F.col("implementation").alias("target"), "occurrences", F.least("rank", F.lit(MEDIUM)).alias("rank"), "line", "receiver", F.col("requirement").alias("via")).where("origin <> target")
     first = more.groupBy("origin", "target").agg(F.min_by(F.struct("occurrences", "rank", "line", "receiver", "via"), F.struct(-F.col("rank"), "via")).alias("b")).select("origin", "target", "b.*")

@@ -32,12 +32,11 @@ def days_since(at: Column, now: Column) -> Column:
     return ((now - at) / 86400).cast("int")
 
 
-def flags(churned: Column, coverage: Column, directives: Column, age: Column, threshold: Column) -> Column:
+def flags(churned: Column, declarations: Column, coverage: Column, directives: Column, age: Column, threshold: Column) -> Column:
     """hot, thin-docs, unmapped, dormant and review, in this order."""
     # fixed values: a quarter covered, a year untouched
-    hot, thin, unmapped, dormant = churned >= threshold, coverage < 0.25, directives == 0, age > 365
-    hot = hot & (churned > 0)
-    named = ((hot, "hot"), (hot & thin, "thin-docs"), (hot & unmapped, "unmapped"), (dormant & ~hot, "dormant"), (hot & thin & unmapped, "review"))
+    hot, thin = (churned >= threshold) & (churned > 0), (declarations > 0) & (coverage < 0.25)
+    named = ((hot, "hot"), (thin, "thin-docs"), (directives == 0, "unmapped"), (age > 365, "dormant"), (hot & thin, "review"))
     return F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in named)))
 
 

@@ -117,8 +117,16 @@ def with_tag(df: DataFrame, tags: DataFrame, tag: str, on: str, tag_on: str, val
 
 
 def kept_by_pattern(decl_id: Column, name: Column, pattern: str) -> Column:
-    """A pattern with * or ? fits ids or names as a whole; another is an exact id or name, or an id before its bracket."""
+    """A pattern with * or ? fits whole ids, whatever the case; another is an exact id or name, or an id before its bracket."""
     if "*" in pattern or "?" in pattern:
         regex = "(?is)^" + "".join({"*": ".*", "?": "."}.get(c) or re.escape(c) for c in pattern) + "$"
-        return decl_id.rlike(regex) | name.rlike(regex)
+        return decl_id.rlike(regex)
     return (decl_id == pattern) | (name == pattern) | decl_id.startswith(pattern + "(")
+
+
+def project(df: DataFrame, fields: list[str] | None) -> DataFrame:
+    """Only the fields that were asked for, in their order; an unknown one is an error, none means all."""
+    unknown = sorted(set(fields or []) - set(df.columns))
+    if unknown:
+        raise ValueError(f"unknown fields: {', '.join(unknown)}")
+    return df.select(*fields) if fields else df

@@ -11,13 +11,25 @@ from ..operators import ranks, scope
 from ..schema import ACCESS, CALLABLE, TYPE_KINDS, normal_access, rank
 
 RECIPES = {
-    "sections": "SELECT t.value AS section, count(DISTINCT d.file_id) AS files, count(*) AS declarations FROM directives t JOIN declarations d ON d.id = t.decl_id WHERE t.tag = 'ai:section' GROUP BY t.value ORDER BY declarations DESC, section",
-    "mass": "SELECT f.path, count(d.id) AS declarations, coalesce(sum(CASE WHEN d.container IS NULL THEN d.decl_length END), 0) AS bytes FROM files f LEFT JOIN declarations d ON d.file_id = f.id GROUP BY f.path ORDER BY declarations DESC, f.path",
-    "invariants": "SELECT f.path, d.decl_id, t.value FROM directives t JOIN declarations d ON d.id = t.decl_id JOIN files f ON f.id = d.file_id WHERE t.tag = 'ai:invariant' ORDER BY f.path, d.start_line",
-    "protocols": "SELECT protocol_name, count(*) AS n FROM conformances GROUP BY protocol_name ORDER BY n DESC, protocol_name",
+    "sections": "SELECT t.value AS section, count(DISTINCT d.file_id) AS files, count(*) AS declarations FROM {directives} t JOIN {declarations} d ON d.id = t.decl_id WHERE t.tag = 'ai:section' GROUP BY t.value ORDER BY declarations DESC, section",
+    "mass": "SELECT f.path, count(d.id) AS declarations, coalesce(sum(CASE WHEN d.container IS NULL THEN d.decl_length END), 0) AS bytes FROM {files} f LEFT JOIN {declarations} d ON d.file_id = f.id GROUP BY f.path ORDER BY declarations DESC, f.path",
+    "invariants": "SELECT f.path, d.decl_id, t.value FROM {directives} t JOIN {declarations} d ON d.id = t.decl_id JOIN {files} f ON f.id = d.file_id WHERE t.tag = 'ai:invariant' ORDER BY f.path, d.start_line",
+    "protocols": "SELECT protocol_name, count(*) AS n FROM {conformances} GROUP BY protocol_name ORDER BY n DESC, protocol_name",
 }
 
 
+def recipe(name: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """A named question, asked of the tables it names."""
+    wanted = {t: df for t, df in tables.items() if "{" + t + "}" in RECIPES[name]}
+    return next(iter(wanted.values())).sparkSession.sql(RECIPES[name], **wanted)
+
+
+def documented(decls: DataFrame, docs: DataFrame) -> DataFrame:
+    """decls (id) with documented: whether a doc comment is there."""
+    there = docs.select(F.col("decl_id").alias("id"), F.lit(True).alias("documented")).distinct()
+    return decls.join(there, "id", "left").withColumn("documented", F.coalesce("documented", F.lit(False)))
+
+
 def mass_per_file(files: DataFrame, decls: DataFrame) -> DataFrame:
     """path, declarations and bytes (of top-level declarations) of every file, also of those without any."""
     one = decls.groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("container").isNull(), F.col("decl_length"))).alias("b"))
