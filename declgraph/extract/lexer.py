@@ -32,8 +32,17 @@ _NEXT = re.compile(
 )
 
 
-def _string_end(data: bytes, at: int, opening: bytes) -> int:
-    """End of a literal whose opening quotes end at `at`; interpolations nest."""
+def interpolations(data: bytes, start: int) -> list[tuple[int, int]]:
+    """Byte ranges of the expressions inside the literal that begins at `start`, without their brackets."""
+    opening = _NEXT.match(data, start)
+    found: list[tuple[int, int]] = []
+    if opening and opening.lastgroup == "string":
+        _string_end(data, opening.end(), opening[0], found)
+    return found
+
+
+def _string_end(data: bytes, at: int, opening: bytes, found: list[tuple[int, int]] | None = None) -> int:
+    """End of a literal whose opening quotes end at `at`; interpolations nest, and found gets the ranges of the outer ones."""
     pounds = opening.count(b"#")
     quote = opening.lstrip(b"#")
     close, escape = quote + b"#" * pounds, b"\\" + b"#" * pounds
@@ -44,7 +53,7 @@ def _string_end(data: bytes, at: int, opening: bytes) -> int:
         if data.startswith(escape, at):
             at += len(escape)
             if data[at : at + 1] == b"(":
-                depth = 0
+                depth, inside = 0, at + 1
                 while at < n:
                     c = data[at : at + 1]
                     if c == b"(":
@@ -52,6 +61,8 @@ def _string_end(data: bytes, at: int, opening: bytes) -> int:
                     elif c == b")":
                         depth -= 1
                         if not depth:
+                            if found is not None:
+                                found.append((inside, at))
                             at += 1
                             break
                     elif c == b'"':

@@ -1,8 +1,8 @@
 """Declarations, imports, call sites, bindings and conformances of one Swift file.
 
 A recursive descent over declarations; bodies are opaque to it (nothing local is a declaration) and are read for names
-that are used. It is tolerant: what it does not know it steps over. Macros are not expanded, and names inside string
-interpolations are not seen.
+that are used. It is tolerant: what it does not know it steps over. Macros are not expanded. Of string literals
+only the expressions inside interpolations are read, for the names that they use.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 
-from .lexer import Comment, Token, tokenize
+from .lexer import Comment, Token, interpolations, tokenize
 
 # Fixed values of the language.
 _ACCESS = {"open", "public", "package", "internal", "fileprivate", "private"}
@@ -32,7 +32,7 @@ def _strip_doc(comment: Comment) -> str:
 class Extraction:
     """rows: declarations, imports, sites, bindings, each a list of dicts in source order."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, declares: bool = True):
         self.data = data
         self.tokens, self.comments = tokenize(data)
         self.match = self._pairs()
@@ -43,8 +43,10 @@ class Extraction:
         self.bindings: list[dict] = []
         self.skip: set[int] = set()  # tokens that are no expression
         self.properties: set[int] = set()
-        self._members(0, len(self.tokens), [], None, [])
+        if declares:
+            self._members(0, len(self.tokens), [], None, [])
         self._uses()
+        self._interpolated()
 
     def _pairs(self) -> list[int]:
         """For an opening bracket the place of its end, or the last place."""
@@ -409,6 +411,17 @@ class Extraction:
             receiver = self._receiver(i - 1) if member else None
             self.sites.append(dict(name=t.text.strip("`"), receiver=receiver or None, kind="call" if call else "ref", line=t.line, offset=t.start))
 
+    def _interpolated(self) -> None:
+        """Uses in the expressions inside string literals; declarations there are none of the file's."""
+        for t in self.tokens:
+            for start, end in interpolations(self.data, t.start) if t.kind == "string" else ():
+                inner = Extraction(self.data[start:end], declares=False)
+                line = t.line + self.data.count(b"\n", t.start, start) - 1
+                for mine, rows in ((self.sites, inner.sites), (self.bindings, inner.bindings)):
+                    mine += [{**r, "line": r["line"] + line, "offset": r["offset"] + start} for r in rows]
+        self.sites.sort(key=lambda r: r["offset"])
+        self.bindings.sort(key=lambda r: r["offset"])
+
     def _in_head(self, i: int) -> bool:
         """Whether a brace behind token i opens the block of an if, a loop or another statement of that kind."""
         line = self.tokens[i].line

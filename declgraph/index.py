@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import fcntl
 import json
 import re
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 from pathlib import Path
 
 import pyarrow as pa
@@ -14,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import schema
-from .operators import diff, graph, resolve, scope
-from .plans import reports
+from . import schema, sqltext
+from .edits import fold
+from .operators import diff, graph, history, members, resolve, scope
+from .plans import records, reports, usage, volatility
+from .sources import audit, git
 from .sources.files import Project, narrative, scan
 
 _ROWS = {
@@ -35,6 +39,25 @@ class SchemaStaleError(RuntimeError):
     """The snapshot has another schema version; build the index anew."""
 
 
+class BusyError(RuntimeError):
+    """Another writer holds the index."""
+
+
+#: How long a writer waits for another one.
+BUSY_SECONDS = 5.0
+
+
+def _locked(lock, seconds: float) -> None:
+    until = time.monotonic() + seconds
+    while True:
+        try:
+            return fcntl.flock(lock, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        except BlockingIOError as busy:
+            if time.monotonic() > until:
+                raise BusyError("another writer holds the index") from busy
+            time.sleep(0.05)
+
+
 def extract(files: DataFrame, call_sites: bool = True) -> DataFrame:
     """files (path, content) parsed on executors: path and one array of rows for each kind."""
     fields = ", ".join(f"{k} {v}" for k, v in _ROWS.items())
@@ -80,7 +103,7 @@ def tables_of(files: DataFrame, parsed: DataFrame) -> dict[str, DataFrame]:
         "directives": decls.select(F.col("id").alias("decl_id"), F.explode("r.directives").alias("t")).select("decl_id", "t.*"),
         "call_sites": sites.select(F.xxhash64("file_id", F.lit("site"), F.col("r.ordinal")).alias("id"), "file_id", owner, "r.name", "r.receiver", "r.kind", "r.line"),
         "bindings": bound.select("file_id", owner, "r.name", "r.type", "r.line"),
-        "conformances": decls.select("file_id", F.when(F.col("r.kind") == "extension", F.col("r.name")).otherwise(F.col("r.name")).alias("type_name"), F.explode("r.inherits").alias("protocol_name")),
+        "conformances": decls.select("file_id", F.col("r.name").alias("type_name"), F.explode("r.inherits").alias("protocol_name")),
     }
 
 
@@ -114,12 +137,9 @@ class Index:
         removed."""
         sites = self.project.call_sites if call_sites is None else call_sites
         self.home.mkdir(parents=True, exist_ok=True)
-        lock = self.home / "writer.lock"
-        with lock.open("x"):
-            try:
-                return self._build(full, sites)
-            finally:
-                lock.unlink()
+        with (self.home / "writer.lock").open("a") as lock:  # the system lets go of it if the writer dies
+            _locked(lock, BUSY_SECONDS)
+            return self._build(full, sites)
 
     def _build(self, full: bool, sites: bool) -> dict[str, int]:
         meta = self._meta()
@@ -180,7 +200,7 @@ class Index:
         files = self.table("files").select(F.col("id").alias("file_id"), F.col("path").alias("file_path"))
         return self.table("declarations").join(files, "file_id")
 
-    def get(self, path: str | None = None, kind: str | None = None, container: str | None = None, name_like: str | None = None, text: str | None = None, tag: str | None = None, spi: str | None = None, access: str | None = None, limit: int = 500, offset: int = 0, fields: list[str] | None = None) -> DataFrame:
+    def get(self, path: str | None = None, kind: str | None = None, container: str | None = None, name_like: str | None = None, text: str | None = None, tag: str | None = None, section: str | None = None, spi: str | None = None, access: str | None = None, limit: int = 500, offset: int = 0, fields: list[str] | None = None) -> DataFrame:
         """Declarations by filters, in order of path and line, a page at a time."""
         d = self.declarations()
         c = F.col
@@ -189,12 +209,77 @@ class Index:
             d = d if value is None else d.where(check(value))
         if tag is not None:
             d = scope.with_tag(d, self.table("directives"), tag, "id", "decl_id")
+        if section is not None:
+            d = scope.with_tag(d, self.table("directives"), "ai:section", "id", "decl_id", section)
         d = d.orderBy("file_path", "start_line", "ordinal").offset(offset).limit(limit)
-        return d.select(*fields) if fields else d
+        return scope.project(d, fields)
 
-    def resolve(self, query: str, path: str | None = None) -> DataFrame:
+    def resolve(self, query: str, path: str | None = None, ladder: Callable[[DataFrame, str], DataFrame] = resolve.lookup) -> DataFrame:
+        """What a query means, by one of the ladders of `resolve`."""
+        d = self.declarations()
+        return ladder(d if path is None else d.where(scope.in_path_or_named(F.col("file_path"), path)), query)
+
+    def for_edit(self, pattern: str, path: str | None = None) -> dict:
+        """The one declaration that an edit is aimed at, with its file's digest; none or several are refused."""
+        files = self.table("files").select(F.col("id").alias("file_id"), "sha256")
+        found = self.resolve(pattern, path, resolve.for_edit).join(files, "file_id").orderBy("file_path", "ordinal").limit(9).collect()
+        if len(found) != 1:
+            raise LookupError(f"{pattern!r} fits {'nothing' if not found else ', '.join(r.decl_id for r in found)}")
+        return found[0].asDict()
+
+    def select(self, selector: str, level: int = 2, wanted: members.Wanted | None = None) -> DataFrame:
+        """What `target:member` shows: roots in order of path and line, or members of what is named that take part."""
+        s = members.Selector.parse(selector, self.project.root)
+        d = self.declarations()
+        d = d if s.path is None else d.where(scope.in_path_or_named(F.col("file_path"), s.path))
+        rungs = {0: (), 1: members.kinds_of("vars", "cases")}
+        asked = replace(wanted or members.Wanted(), name=s.member or (wanted.name if wanted else None))
+        asked = asked if asked.members is not None or level not in rungs else replace(asked, members=tuple(rungs[level]))
+        if s.name is None:
+            found = members.included_roots(d, asked)
+        else:
+            root = resolve.for_outline(d, s.name).drop("rung")
+            around = root.select(F.col("file_id").alias("r_file"), F.col("decl_offset").alias("r_at"), F.col("decl_length").alias("r_size")).distinct()
+            inside = (F.col("file_id") == F.col("r_file")) & (F.col("decl_offset") >= F.col("r_at")) & (F.col("decl_offset") + F.col("decl_length") <= F.col("r_at") + F.col("r_size"))
+            within = d.join(around, inside, "left_semi")
+            found = members.included(within, asked).unionByName(root.select(*d.columns)).dropDuplicates(["id"])
+        return found.orderBy("file_path", "start_line", "ordinal")
+
+    def peek(self, expand: str, path: str | None = None) -> DataFrame:
+        """Types that the signatures of expanded declarations name, a few, by path and line."""
+        d = self.declarations()
+        shown = d if path is None else d.where(scope.in_path_or_named(F.col("file_path"), path))
+        leaves = members.expanded_leaves(shown, members.Wanted(expand=expand))
+        roots = members.included_roots(shown, members.Wanted(members=(), name=expand))
+        return members.peek(d, leaves, roots.unionByName(leaves))
+
+    def records(self, query: str) -> DataFrame:
+        """Records of what a query means, with their text forms: line, folded, markdown."""
+        found = records.records(self.resolve(query).drop("rung"), self.table("doc_comments"), self.table("directives"))
+        forms = {"line": records.one_line(), "folded": records.folded(), "markdown": records.markdown()}
+        return found.withColumns(forms).orderBy("file_path", "start_line", "ordinal")
+
+    def folded(self, query: str, keep: tuple[str, ...] = (), deep: bool = False) -> str:
+        """Source of what a query means with bodies folded, but those of declarations that a keep pattern fits. With deep a
+        member is shown inside its type, unfolded."""
         d = self.declarations()
-        return resolve.lookup(d if path is None else d.where(scope.in_path_or_named(F.col("file_path"), path)), query)
+        row = self.resolve(query).orderBy("file_path", "ordinal").first()
+        if row is None:
+            raise LookupError(f"{query!r} fits nothing")
+        inside = d.where((F.col("file_id") == row.file_id) & (F.col("decl_length") > 0))
+        kept = {r.decl_id for p in keep for r in inside.where(scope.kept_by_pattern(F.col("decl_id"), F.col("name"), p)).collect()}  # of one file
+        rows = inside.collect()
+        if deep and row.kind not in schema.TYPE_KINDS:
+            around = [r for r in rows if r.kind in schema.TYPE_KINDS and r.decl_offset <= row.decl_offset and r.decl_offset + r.decl_length >= row.decl_offset + row.decl_length]
+            kept.add(row.decl_id)
+            row = min(around, key=lambda r: r.decl_length, default=row)
+        self.require_fresh([row.file_path])
+        data = (self.project.root / row.file_path).read_bytes()
+        start, end = row.decl_offset, row.decl_offset + row.decl_length
+        of_type = row.kind in schema.TYPE_KINDS
+        held = [r for r in rows if (start < r.decl_offset and r.decl_offset + r.decl_length <= end if of_type else r.id == row.id)]
+        parts = [(r.decl_offset - start, r.decl_length, None if r.body_offset is None else r.body_offset - start, r.body_length, r.decl_id, r.kind in schema.TYPE_KINDS) for r in held]
+        return fold(data[start:end], parts, frozenset(kept), deep).decode()
 
     def imports(self, path: str | None = None, module: str | None = None, testable: bool | None = None, spi: str | None = None) -> DataFrame:
         files = self.table("files").select(F.col("id").alias("file_id"), F.col("path").alias("file_path"))
@@ -208,15 +293,27 @@ class Index:
     # --- graph
 
     def edges(self, include_refs: bool = False) -> tuple[DataFrame, DataFrame]:
-        """(callers' edges, callees' edges), with dispatch through protocols."""
-        if self._meta()["call_sites"] == "off":
+        """(callers' edges, callees' edges), with dispatch through protocols: tables of the snapshot, made when they are first
+        asked for, each in order of the side that a walk starts from, so that a walk reads little of it."""
+        meta = self._meta()
+        if graph.sites_disabled(meta.get("call_sites"), self.table("call_sites")):
             raise RuntimeError("call sites are not indexed")
+        found = []
+        for side, by in (("callers", "target"), ("callees", "origin")):
+            path = self.home / meta["snapshot"] / f"edges-{side}{'-refs' if include_refs else ''}"
+            if not (path / "_SUCCESS").exists():
+                made = self._edges(include_refs)[side == "callees"]
+                made.repartitionByRange(by).sortWithinPartitions(by).write.mode("overwrite").parquet(str(path))
+            found.append(self.spark.read.parquet(str(path)))
+        return found[0], found[1]
+
+    def _edges(self, include_refs: bool) -> tuple[DataFrame, DataFrame]:
         decls, conf = self.table("declarations"), self.table("conformances")
         rows = graph.candidates(self.table("call_sites"), decls, self.table("bindings"), conf, include_refs)
         pairs = graph.implementations(decls, conf)
-        return graph.with_dispatch_in(graph.edges_in(rows), pairs), graph.with_dispatch_out(graph.edges_out(rows), decls, pairs)
+        return graph.with_dispatch_in(graph.edges_in(rows), decls, conf), graph.with_dispatch_out(graph.edges_out(rows), decls, pairs)
 
-    def calls(self, query: str, callees: bool = False, depth: int = 2, least: str = "medium", limit: int = 25, include_refs: bool = False, tests_only: bool = False) -> DataFrame:
+    def calls(self, query: str, callees: bool = False, depth: int = 2, least: str = "medium", limit: int | None = 25, include_refs: bool = False, tests_only: bool = False) -> DataFrame:
         """The call tree of the declaration that query means: callers, or callees."""
         decls = self.declarations()
         root = resolve.for_calls(decls, query).orderBy("file_path", "ordinal").limit(1).select(F.col("id").alias("node"))
@@ -229,7 +326,7 @@ class Index:
 
     def blast_radius(self, query: str, depth: int = 2, least: str = "low") -> DataFrame:
         decls = self.declarations().select("id", F.col("file_path").alias("path_name"), scope.is_test(F.col("file_path"), F.col("container")).alias("is_test"))
-        tree = self.calls(query, depth=depth, least=least, limit=1_000_000).drop("path_name", "is_test", "decl_id")
+        tree = self.calls(query, depth=depth, least=least, limit=None).drop("path_name", "is_test", "decl_id")
         return graph.blast_radius(tree, decls)
 
     # --- SQL
@@ -246,18 +343,13 @@ class Index:
             df.createOrReplaceTempView(name)
 
     def sql(self, text: str) -> DataFrame:
-        """Read-only SQL: a statement that begins with select, with or pragma."""
-        self.views()
+        """Read-only SQL over the tables, as `sqltext` reads it; pragma table_info(t) lists a table's columns."""
         pragma = re.match(r"\s*pragma\s+table_info\s*\(\s*['\"]?(\w+)['\"]?\s*\)", text, re.I)
+        self.views()
         if pragma:
             fields = self.spark.table(pragma[1]).schema.fields
             return self.spark.createDataFrame([(k, f.name, f.dataType.simpleString()) for k, f in enumerate(fields)], "cid int, name string, type string")
-        if not re.match(r"\s*(select|with)\b", text, re.I):
-            raise ValueError("only select, with and pragma are allowed")
-        plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text.rstrip().rstrip(";"))
-        if re.search(r"Insert|CreateTable|Drop|Command", plan.getClass().getSimpleName()):
-            raise ValueError("only reading is allowed")
-        return self.spark.sql(text.rstrip().rstrip(";"))
+        return self.spark.sql(sqltext.to_spark(text))
 
     def recipe(self, name: str) -> DataFrame:
         return reports.recipe(name, {t: self.table(t) for t in schema.TABLES})
@@ -266,6 +358,32 @@ class Index:
         """Sections of the shape report; each is lazy, so one that is not read runs nothing."""
         return reports.sections({t: self.table(t) for t in schema.TABLES}, path, top)
 
+    # --- history and use
+
+    def volatility(self, now: float | None = None, days: int = 90, buckets: int = 12, path: str | None = None) -> DataFrame:
+        """Every file of the index with how it changes; git adds columns, never rows."""
+        files = self.table("files") if path is None else self.table("files").where(scope.in_path(F.col("path"), path))
+        spine = volatility.structure(files, self.table("declarations"), self.table("doc_comments"), self.table("directives"))
+        prefix = git.prefix(self.project.root)
+        log, touched = git.log(self.spark, self.project.root, days, prefix), git.last_touched(self.spark, self.project.root, prefix)
+        return volatility.enriched(spine, log, touched, time.time() if now is None else now, days, buckets)
+
+    def dashboard(self, since: str = "HEAD", days: int = 90, buckets: int = 12, top: int = 10) -> DataFrame:
+        """Entities of the mass, volatility and delta sections in one flat list."""
+        mass = self.stats(top=top)["densest"]
+        files = volatility.ranked(self.volatility(days=days, buckets=buckets), top)
+        return volatility.entities(mass, files, git.changes_with_place(self, since))
+
+    def _log(self, last: int | None) -> DataFrame:
+        return audit.events(self.spark, str(self.project.audit_path()), last)
+
+    def usage(self, last: int | None = None) -> dict[str, DataFrame]:
+        """The report on the usage log."""
+        return usage.report(self._log(last))
+
+    def replay(self, program: str = "declgraph", last: int | None = None, failed: bool = False) -> DataFrame:
+        return usage.replay(self._log(last), program, failed)
+
     # --- text
 
     def outline(self, path: str | None = None, level: int = 0, access: str | None = None, doc: bool = False) -> DataFrame:

@@ -134,15 +134,24 @@ def requirements(decls: DataFrame, conformances: DataFrame) -> DataFrame:
     return implementations(decls, conformances).select("implementation", "requirement")
 
 
-def with_dispatch_in(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Callers of a requirement also reach its implementations, at medium at most and only where strictly better."""
-    capped = F.least("rank", F.lit(MEDIUM))
-    over = edges.join(pairs, edges.target == pairs.requirement).select(F.col("implementation").alias("target"), "origin", "occurrences", capped.alias("rank"), "line", "receiver", F.col("requirement").alias("via"))
+def with_dispatch_in(edges: DataFrame, decls: DataFrame, conformances: DataFrame) -> DataFrame:
+    """Callers of a requirement also reach its implementations, at medium at most and only where strictly better.
+
+    All requirements of one name in one protocol have the same implementations. So a caller's edges to them are one row
+    before they are joined with conforming types, and again one before they are joined with the types' members."""
+    best = lambda via: F.min_by(F.struct("rank", "line", "receiver", via.alias("via")), F.struct(-F.col("rank"), via)).alias("b")
+    members = decls.select("id", "name", F.col("container").alias("type_name"))
+    abstract = decls.select(F.col("id").alias("target"), "name", F.col("container").alias("protocol_name"))
+    pairs = conformances.select("type_name", "protocol_name").where("type_name <> protocol_name").distinct()
+    met = edges.join(abstract.join(pairs.select("protocol_name").distinct(), "protocol_name", "left_semi"), "target").withColumn("rank", F.least("rank", F.lit(MEDIUM)))
+    met = met.groupBy("origin", "protocol_name", "name").agg(best(F.col("target")), F.max("occurrences").alias("occurrences")).select("origin", "protocol_name", "name", "occurrences", "b.*")
+    met = met.join(pairs, "protocol_name").groupBy("origin", "type_name", "name").agg(best(F.col("via")), F.max("occurrences").alias("occurrences")).select("origin", "type_name", "name", "occurrences", "b.*")
+    over = met.join(members, ["type_name", "name"]).select(F.col("id").alias("target"), "origin", "occurrences", "rank", "line", "receiver", "via")
     over = over.where(~F.coalesce(F.col("origin") == F.col("target"), F.lit(False)))
     both = edges.withColumn("own", F.lit(True)).unionByName(over.withColumn("own", F.lit(False)))
-    best = F.min_by(F.struct("rank", "line", "receiver", "via"), F.struct(-F.col("rank"), ~F.col("own"), "via"))
+    first = F.min_by(F.struct("rank", "line", "receiver", "via"), F.struct(-F.col("rank"), ~F.col("own"), "via"))
     own = F.max(F.when(F.col("own"), F.col("occurrences")))
-    return both.groupBy("target", "origin").agg(best.alias("b"), F.coalesce(own, F.max("occurrences")).alias("occurrences")).select("target", "origin", "occurrences", "b.rank", "b.line", "b.receiver", "b.via")
+    return both.groupBy("target", "origin").agg(first.alias("b"), F.coalesce(own, F.max("occurrences")).alias("occurrences")).select("target", "origin", "occurrences", "b.rank", "b.line", "b.receiver", "b.via")
 
 
 def with_dispatch_out(edges: DataFrame, decls: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -154,17 +163,20 @@ def with_dispatch_out(edges: DataFrame, decls: DataFrame, pairs: DataFrame) -> D
     return edges.unionByName(first.join(edges, ["origin", "target"], "left_anti"))
 
 
-def traverse(roots: DataFrame, edges: DataFrame, depth: int = 2, floor: int = MEDIUM, limit: int = 25, src: str = "src", dst: str = "dst", order: tuple[str, ...] = ("line",)) -> DataFrame:
+def traverse(roots: DataFrame, edges: DataFrame, depth: int = 2, floor: int = MEDIUM, limit: int | None = 25, src: str = "src", dst: str = "dst", order: tuple[str, ...] = ("line",)) -> DataFrame:
     """Walks from roots (one column, node) along edges (src, dst, rank, ...) of at least the floor.
 
     Rows: root, depth, node, parent, path (nodes from the root), rank, cycle, truncated, suppressed (edges of the parent below
-    the floor). A node that its own path already has is a leaf; each node follows its `limit` best edges; 0 is file scope,
-    which may repeat."""
-    kept = edges.where(F.col("rank") >= floor)
-    w = Window.partitionBy(src).orderBy(F.desc("rank"), *order, dst)
-    kept = kept.withColumn("at", F.row_number().over(w)).withColumn("of", F.count("*").over(Window.partitionBy(src))).where(F.col("at") <= limit)
-    below = edges.groupBy(F.col(src).alias("s_src")).agg(F.count_if(F.col("rank") < floor).alias("suppressed"))
-    step = kept.join(below, kept[src] == below.s_src, "left").select(F.col(src).alias("e_src"), F.col(dst).alias("e_dst"), F.col("rank").alias("e_rank"), (F.col("of") > limit).alias("truncated"), "suppressed")
+    the floor). A node that its own path already has is a leaf; each node follows its `limit` best edges (all without one); 0
+    is file scope, which may repeat."""
+    whole = Window.partitionBy(src)
+    best = whole.orderBy(F.desc("rank"), *order, dst)
+    above = F.col("rank") >= floor
+    kept = edges.withColumn("suppressed", F.count_if(~above).over(whole)).withColumn("of", F.count_if(above).over(whole)).withColumn("at", F.row_number().over(best)).where(above)
+    more = F.lit(False)
+    if limit is not None:  # what is below the floor comes last in the order
+        kept, more = kept.where(F.col("at") <= limit), F.col("of") > limit
+    step = kept.select(F.col(src).alias("e_src"), F.col(dst).alias("e_dst"), F.col("rank").alias("e_rank"), more.alias("truncated"), "suppressed")
     none = F.lit(None)
     level = roots.select(F.col("node").alias("root"), F.lit(0).alias("depth"), "node", none.cast("long").alias("parent"), F.array("node").alias("path"), none.cast("int").alias("rank"), F.lit(False).alias("cycle"), F.lit(False).alias("truncated"), none.cast("long").alias("suppressed"))
     out = level

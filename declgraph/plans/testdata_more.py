@@ -150,7 +150,7 @@ UNION ALL SELECT implementation, origin, occurrences, least(rank, 1), false, req
 SELECT target, coalesce(origin, -1) AS origin, max(rank) AS rank, coalesce(max(occurrences) FILTER (own), max(occurrences))::BIGINT AS occurrences FROM u2 GROUP BY 1, 2""")
 def GR06_callers_with_dispatch(spark, d):
     decls, rows, conform = _graph_rows(spark, d)
-    return graph.with_dispatch_in(graph.edges_in(rows), graph.implementations(decls, conform)).select("target", F.coalesce("origin", F.lit(-1)).alias("origin"), "rank", "occurrences")
+    return graph.with_dispatch_in(graph.edges_in(rows), decls, conform).select("target", F.coalesce("origin", F.lit(-1)).alias("origin"), "rank", "occurrences")
 
 
 @_query(_OUT + f""", {_PAIRS}, more AS (SELECT DISTINCT e.origin, implementation AS target, least(e.rank, 1) AS rank FROM e JOIN d q ON q.id = e.target JOIN i ON i.requirement = e.target WHERE q.container IN (SELECT name FROM d WHERE kind = 'protocol') AND e.origin <> implementation)

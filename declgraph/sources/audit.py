@@ -28,6 +28,9 @@ def events(spark: SparkSession, path: str, last: int | None = None) -> DataFrame
     return rows if last is None else rows.orderBy(F.desc("seq")).limit(last).orderBy("seq")
 
 
-def envelope(rows: list[dict], **more) -> str:
-    """The JSON result: sorted keys, a schema version, the number of results."""
-    return json.dumps({"schema_version": 1, "result_count": len(rows), "results": rows, **more}, sort_keys=True, indent=2, default=str)
+def envelope(command: str, data: list[dict] | dict, tier: str | None = None, warnings: tuple[str, ...] = (), freshness: str | None = None, fields: list[str] | None = None, ladder: list[dict] | None = None) -> str:
+    """The JSON result of a command: sorted keys, the number of results, warnings; fields and ladder only where there are some."""
+    # fixed values: tiers of commands that name none
+    tiers = {"query": "T0", "weave": "T3", "clip": "write", "index": "write"}
+    told = {"schema_version": 1, "command": command, "tier": tier or tiers.get(command), "result_count": len(data) if isinstance(data, list) else 1, "warnings": list(warnings), "freshness": freshness, "fields": fields, "ladder": ladder, "data": data}
+    return json.dumps({k: v for k, v in told.items() if v is not None}, sort_keys=True, indent=2, default=str, ensure_ascii=False)

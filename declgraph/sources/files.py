@@ -24,7 +24,7 @@ class Project:
     follow_gitignore: bool = True
     call_sites: bool = True
     index_path: str = ".declgraph"
-    audit: bool = True
+    audit: bool | str = True
 
     @classmethod
     def find(cls, start: str | Path) -> Project:
@@ -51,6 +51,11 @@ class Project:
         path.write_text('sources = ["Sources", "Tests"]\nexclude = ["**/.build/**"]\naudit = true\n\n[index]\npath = ".declgraph"\nfollow_gitignore = true\n\n[parse]\nextract_call_sites = true\n')
         return cls.load(root)
 
+    def audit_path(self) -> Path:
+        """The usage log: beside the index, or where the configuration says."""
+        told = self.audit if isinstance(self.audit, str) and self.audit else f"{self.index_path}/audit.log"
+        return Path(self.root, Path(told).expanduser())
+
     def rules(self) -> list[str]:
         path = self.root / ".gitignore"
         return path.read_text().splitlines() if self.follow_gitignore and path.exists() else []

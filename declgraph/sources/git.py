@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import renamed_path, under_prefix
-from ..operators import diff, intervals
+from ..operators import diff, history, intervals
+from ..plans.reports import documented
 
 
 def run(root: Path, *args: str) -> str:
@@ -60,6 +61,67 @@ def changed_files(root: Path, since: str = "HEAD") -> list[tuple[str, str]]:
     return [(x.split("\t")[0][0], x.split("\t")[-1]) for x in run(root, "diff", "--name-status", "-M", since, "--", ".").split("\n") if x]
 
 
+def untracked(root: Path) -> list[str]:
+    """Files that git neither knows nor ignores; a delta never has them."""
+    return [x for x in run(root, "ls-files", "--others", "--exclude-standard").split("\n") if x]
+
+
+def revision(root: Path, ref: str = "HEAD") -> str | None:
+    """The commit that a name stands for; null if there is none."""
+    done = subprocess.run(["git", "-C", str(root), "rev-parse", "--verify", "--quiet", f"{ref}^{{commit}}"], capture_output=True, text=True, check=False)
+    return done.stdout.strip() or None
+
+
+def prefix(root: Path) -> str:
+    """Where a project lies in its repository; empty at the top."""
+    return run(root, "rev-parse", "--show-prefix").strip().rstrip("/")
+
+
+def last_touched(spark: SparkSession, root: Path, prefix: str = "") -> DataFrame:
+    """path and touched (seconds of the newest commit) over all history."""
+    text = run(root, "log", "--no-merges", "--name-only", "--format=commit%x09%H%x09%an%x09%at")
+    return history.last_touched(parse_names(_lines(spark, text), prefix)).withColumnRenamed("at", "touched")
+
+
+def parse_names(lines: DataFrame, prefix: str = "") -> DataFrame:
+    """path and at (seconds) from a log whose commits are lines as in parse_numstat before their files' names."""
+    from pyspark.sql import Window
+
+    head = F.regexp_extract("line", "^commit\t([0-9a-f]+)\t(.*)\t([0-9]+)$", 3)
+    w = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # one log; its order is its meaning
+    rows = lines.withColumn("time", F.last(F.nullif(head, F.lit("")), True).over(w)).where((head == "") & (F.col("line") != ""))
+    return rows.select(under_prefix(F.col("line"), prefix).alias("path"), F.col("time").cast("long").alias("at")).where("path is not null")
+
+
+HOOKS = ("post-checkout", "post-merge", "post-rewrite")
+
+
+def install_hooks(root: Path, command: str) -> list[Path]:
+    """Hooks that run a command (to index anew) after the working tree changes; it runs aside and its failure stops nothing.
+    A hook that is there already stays."""
+    folder = Path(root, run(root, "rev-parse", "--git-path", "hooks").strip())
+    folder.mkdir(parents=True, exist_ok=True)
+    made = []
+    for name in HOOKS:
+        path = folder / name
+        if not path.exists():
+            path.write_text(f"#!/bin/sh\n( {command} >/dev/null 2>&1 || true ) &\n")
+            path.chmod(0o755)
+            made.append(path)
+    return made
+
+
+def changes_with_place(index, since: str = "HEAD") -> DataFrame:
+    """The delta with what a list of entities needs: line, lines_touched, kind, documented and guards of each declaration; those
+    that are gone have none of these."""
+    found = delta(index, since).withColumnRenamed("lines", "lines_touched")
+    d = index.declarations().select("id", F.col("file_path").alias("path"), "decl_id", F.col("start_line").alias("line"), "kind").dropDuplicates(["path", "decl_id"])
+    tags = index.table("directives").where(F.col("tag").startswith("ai:")).groupBy(F.col("decl_id").alias("id")).agg(F.array_sort(F.collect_set("tag")).alias("guards"))
+    place = documented(d, index.table("doc_comments")).join(tags, "id", "left").drop("id")
+    rows = found.join(place, ["path", "decl_id"], "left")
+    return rows.withColumns({"documented": F.coalesce("documented", F.lit(False)), "guards": F.coalesce("guards", F.array().cast("array<string>")), "kind": F.coalesce("kind", F.lit("-"))})
+
+
 def delta(index, since: str = "HEAD") -> DataFrame:
     """Declaration changes since a commit: what git has, parsed as the index parses, against the index."""
     from ..index import extract
