@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from . import schema, sqltext
 from .edits import fold
-from .operators import diff, graph, history, members, resolve, scope
+from .operators import diff, graph, members, ranks, resolve, scope
 from .plans import records, reports, usage, volatility
 from .sources import audit, git
 from .sources.files import Project, narrative, scan
@@ -229,20 +229,17 @@ class Index:
 
     def select(self, selector: str, level: int = 2, wanted: members.Wanted | None = None) -> DataFrame:
         """What `target:member` shows: roots in order of path and line, or members of what is named that take part."""
-        s = members.Selector.parse(selector, self.project.root)
+        path, roots, asked = self._scoped(selector, wanted)
         d = self.declarations()
-        d = d if s.path is None else d.where(scope.in_path_or_named(F.col("file_path"), s.path))
-        rungs = {0: (), 1: members.kinds_of("vars", "cases")}
-        asked = replace(wanted or members.Wanted(), name=s.member or (wanted.name if wanted else None))
-        asked = asked if asked.members is not None or level not in rungs else replace(asked, members=tuple(rungs[level]))
-        if s.name is None:
+        d = d if path is None else d.where(scope.in_path_or_named(F.col("file_path"), path))
+        asked = asked if asked.members is not None else replace(asked, members=members.RUNGS[level])
+        if roots is None:
             found = members.included_roots(d, asked)
         else:
-            root = resolve.for_outline(d, s.name).drop("rung")
-            around = root.select(F.col("file_id").alias("r_file"), F.col("decl_offset").alias("r_at"), F.col("decl_length").alias("r_size")).distinct()
+            roots = members.outermost(roots)
+            around = roots.select(F.col("file_id").alias("r_file"), F.col("decl_offset").alias("r_at"), F.col("decl_length").alias("r_size")).distinct()
             inside = (F.col("file_id") == F.col("r_file")) & (F.col("decl_offset") >= F.col("r_at")) & (F.col("decl_offset") + F.col("decl_length") <= F.col("r_at") + F.col("r_size"))
-            within = d.join(around, inside, "left_semi")
-            found = members.included(within, asked).unionByName(root.select(*d.columns)).dropDuplicates(["id"])
+            found = members.included(d.join(around, inside, "left_semi"), asked).unionByName(roots.select(*d.columns)).dropDuplicates(["id"])
         return found.orderBy("file_path", "start_line", "ordinal")
 
     def peek(self, expand: str, path: str | None = None) -> DataFrame:
@@ -386,17 +383,46 @@ class Index:
 
     # --- text
 
-    def outline(self, path: str | None = None, level: int = 0, access: str | None = None, doc: bool = False) -> DataFrame:
-        """path, at, line: a row for each line of the outline of every file in scope."""
-        return reports.outline(self.declarations(), self.table("doc_comments"), path, level, access, doc)
+    def _contents(self, decls: DataFrame) -> DataFrame:
+        """Sources of the files that hold declarations; files that changed since they were indexed are refused."""
+        paths = [r.file_path for r in decls.select("file_path").distinct().collect()]  # of what is about to be printed
+        self.require_fresh(paths)
+        return scan(self.spark, self.project).select("path", "content")
 
-    def ladder(self, path: str | None = None) -> DataFrame:
+    def _scoped(self, selector: str | None, wanted: members.Wanted | None) -> tuple[str | None, DataFrame | None, members.Wanted]:
+        s = members.Selector.parse(selector, self.project.root)
+        asked = replace(wanted or members.Wanted(), name=s.member or (wanted.name if wanted else None))
+        return s.path, None if s.name is None else resolve.for_outline(self.declarations(), s.name).drop("rung"), asked
+
+    def outline(self, selector: str | None = None, level: int | None = None, wanted: members.Wanted | None = None, doc: bool = False, numbers: bool = False, fold: bool = False, limit: int = 200, budget: int | None = None) -> DataFrame:
+        """file_path, at, line, is_test: the outline of what a selector means. Without a level a budget (bytes) chooses the
+        deepest rung within it; else it is 0, or 2 where a member or something to expand was asked for."""
+        path, roots, asked = self._scoped(selector, wanted)
+        if level is None:
+            level = self.budget_level(selector, budget, wanted) if budget is not None else 2 if asked.name or asked.expand else 0
+        d = self.declarations()
+        tags = self.table("directives") if doc else None
+        contents = None
+        if level >= members.FULL or asked.expand:
+            shown = (d if path is None else d.where(scope.in_path_or_named(F.col("file_path"), path))) if roots is None else roots
+            contents = self._contents(shown if level >= members.FULL else members.expanded_leaves(shown, asked))
+        return reports.outline(d, self.table("doc_comments"), path, level, asked, tags, contents, roots, "{ ... }" if fold else "{}", numbers, limit)
+
+    def ladder(self, selector: str | None = None, wanted: members.Wanted | None = None, limit: int = 200) -> DataFrame:
         """level, bytes, estimated: what each rung of the outline costs."""
-        return reports.ladder(self.declarations(), self.table("doc_comments"), path)
+        path, roots, asked = self._scoped(selector, wanted)
+        return reports.ladder(self.declarations(), self.table("doc_comments"), path, asked, roots=roots, limit=limit)
+
+    def budget_level(self, selector: str | None, budget: int, wanted: members.Wanted | None = None) -> int:
+        """The deepest rung whose bytes are within a budget; 0 if none is."""
+        return ranks.deepest_within(self.ladder(selector, wanted).select("level", "bytes"), budget).first().level
 
-    def weave(self, path: str | None = None) -> str:
-        """The project as Markdown: book, then files with docs, directives and signatures."""
-        return reports.weave({t: self.table(t) for t in schema.TABLES}, self.declarations(), path)
+    def weave(self, path: str | None = None, summary: bool = False, access: str | None = None, spi: str | None = None, section: str | None = None) -> str:
+        """The project as Markdown: book, then files with docs, directives, and the source of declarations; signatures only for
+        a summary."""
+        d = self.declarations()
+        contents = None if summary else self._contents(d if path is None else d.where(scope.in_path(F.col("file_path"), path)))
+        return reports.weave({t: self.table(t) for t in schema.TABLES}, d, path, contents, access, spi, section)
 
     def body(self, decl: dict) -> str:
         """Source of one declaration, from a file that is as it was indexed."""

@@ -110,6 +110,18 @@ def included_roots(decls: DataFrame, wanted: Wanted) -> DataFrame:
     return roots.join(roots.where(wanted.own_root()).select("id").unionByName(held).distinct(), "id", "left_semi")
 
 
+#: Kinds of members that the rungs of an outline show; the last one also shows bodies.
+RUNGS: tuple[tuple[str, ...], ...] = ((), tuple(kinds_of("vars", "cases")), tuple(kinds_of()), tuple(kinds_of()))
+FULL = len(RUNGS) - 1
+
+
+def outermost(decls: DataFrame) -> DataFrame:
+    """Rows that lie inside no other row of the same file."""
+    outer = decls.select(F.col("file_id").alias("o_file"), F.col("decl_offset").alias("o_at"), F.col("decl_length").alias("o_size"))
+    inside = (F.col("file_id") == F.col("o_file")) & (F.col("decl_offset") >= F.col("o_at")) & (F.col("decl_offset") + F.col("decl_length") <= F.col("o_at") + F.col("o_size")) & (F.col("decl_length") < F.col("o_size"))
+    return decls.join(outer, inside, "left_anti")
+
+
 def expanded_leaves(decls: DataFrame, wanted: Wanted) -> DataFrame:
     """Declarations that are shown in full: those that match the expansion, or lie inside a type that does, and hold nothing."""
     match = decls.where(wanted.expanded())

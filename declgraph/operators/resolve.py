@@ -26,8 +26,9 @@ def for_calls(decls: DataFrame, query: str) -> DataFrame:
 
 
 def for_outline(decls: DataFrame, query: str) -> DataFrame:
-    """For outlines: exact id; name that is the query in any case; id that holds it."""
-    return for_calls(decls, query)
+    """For outlines: exact id; name that holds the query, in any case; id that holds it."""
+    q = query.lower()
+    return first_rung(decls, F.col("decl_id") == query, F.lower("name").contains(q), F.lower("decl_id").contains(q))
 
 
 def for_edit(decls: DataFrame, query: str) -> DataFrame:

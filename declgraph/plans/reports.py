@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+from dataclasses import replace
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import ranks, scope
+from ..operators import members, ranks, scope
 from ..schema import ACCESS, CALLABLE, TYPE_KINDS, normal_access, rank
 
 RECIPES = {
@@ -65,6 +68,8 @@ def sections(tables: dict[str, DataFrame], path: str | None = None, top: int = 1
     shape = mass.agg(F.coalesce(ranks.percentile("declarations", 0.5), F.lit(0)).alias("p50"), F.coalesce(ranks.percentile("declarations", 0.9), F.lit(0)).alias("p90"), F.max("declarations").alias("max"), F.count_if(F.col("declarations") == 0).alias("empty_files"))
     documented = d.join(docs.select(F.col("decl_id").alias("id"), F.lit(1).alias("doc")), "id", "left").groupBy(normal_access(F.col("access")).alias("access")).agg(F.count("*").alias("n"), F.count("doc").alias("documented"))
     fold = d.agg(F.coalesce(F.sum(F.when(F.col("container").isNull(), F.col("decl_length"))), F.lit(0)).alias("source_bytes"), F.coalesce(F.sum("body_length"), F.lit(0)).alias("body_bytes"))
+    said = docs.join(d.select(F.col("id").alias("decl_id")), "decl_id", "left_semi").agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("doc_chars"))
+    fold = fold.crossJoin(F.broadcast(said))  # one row each
     sectioned = d.join(tags.where("tag = 'ai:section'").select(F.col("decl_id").alias("id")), "id", "left_semi").select(F.col("file_id").alias("id")).distinct()
     names = files.select(F.col("id").alias("file_id"), F.col("path").alias("file_path"))
     return {
@@ -84,62 +89,161 @@ def sections(tables: dict[str, DataFrame], path: str | None = None, top: int = 1
 
 
 _LINES = "file_path string, at int, line string, is_test boolean"
+_UNIT = "    "
 
 
-def outline(decls: DataFrame, docs: DataFrame, path: str | None, level: int, access: str | None = None, doc: bool = False) -> DataFrame:
-    """Lines of the outline of every file in scope. Level 0 shows types and top-level declarations, 1 also variables and
-    cases, 2 all members; bodies are stubs. Nesting comes from byte intervals; tests are last."""
-    d = decls if path is None else decls.where(scope.in_path_or_named(F.col("file_path"), path))
-    d = d if access is None else d.where(scope.access_floor(F.col("access"), access))
-    d = d.join(docs.select(F.col("decl_id").alias("id"), F.col("text").alias("doc")), "id", "left")
-
-    def render(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["decl_offset", "decl_length", "ordinal"], ascending=[True, False, True])
-        out, open_ = [], []
-        for r in rows.itertuples():
-            while open_ and r.decl_offset >= open_[-1]:
-                open_.pop()
-                out.append("    " * len(open_) + "}")
-            depth, is_type = len(open_), r.kind in TYPE_KINDS
-            if depth and not is_type and (level < 1 or (level < 2 and r.kind not in ("var", "let", "case"))):
-                continue
-            pad = "    " * depth
-            if doc and r.doc:
-                out += [f"{pad}/// {x}" for x in r.doc.split("\n")]
-            signature = " ".join(r.signature.split("{")[0].split()) if r.body_length == r.body_length and r.kind in ("var", "let") else " ".join(r.signature.split())
-            if is_type:
-                out.append(f"{pad}{signature} {{")
-                open_.append(r.decl_offset + r.decl_length)
-            else:
-                out.append(f"{pad}{signature}" + (" { ... }" if r.body_length == r.body_length and r.body_length is not None else ""))
-        while open_:
+def _reindented(text: str, pad: str) -> list[str]:
+    """A slice of source under another indent; its first line begins at the declaration."""
+    first, *rest = text.split("\n")
+    common = min((len(x) - len(x.lstrip(" ")) for x in rest if x.strip()), default=0)
+    return [pad + first.strip(), *(pad + x[common:] if x.strip() else "" for x in rest)]
+
+
+def _forest(rows: list[dict]) -> list[dict]:
+    """Rows of one file, in order of offset (the longer first), with the rows inside them; only types hold any."""
+    top: list[dict] = []
+    open_: list[dict] = []
+    for r in rows:
+        r["children"] = []
+        while open_ and r["decl_offset"] + r["decl_length"] > open_[-1]["decl_offset"] + open_[-1]["decl_length"]:
             open_.pop()
-            out.append("    " * len(open_) + "}")
-        first = rows.file_path.iloc[0]
-        return pd.DataFrame({"file_path": first, "at": range(len(out)), "line": out, "is_test": bool(rows.is_test.iloc[0])})
+        (open_[-1]["children"] if open_ else top).append(r)
+        if r["kind"] in TYPE_KINDS:
+            open_.append(r)
+    return top
+
 
-    d = d.withColumn("is_test", scope.is_test_path(F.col("file_path")))
-    return d.groupBy("file_id").applyInPandas(render, _LINES).orderBy("is_test", "file_path", "at")
+def _rendered(node: dict, depth: int, stub: str, numbers: bool, expanded: bool = False) -> list[str]:
+    pad, expanded = _UNIT * depth, expanded or node["expanded"]
+    lines = [f"{pad}/// {x}" for x in (node["doc"] or "").splitlines() if x] + [f"{pad}//# {t['tag']}: {t['value']}" for t in node["tags"]]
 
+    def told(line: str) -> str:
+        return f"{line}  // {node['start_line']}-{node['end_line']}" if numbers else line
+
+    head = pad + node["header"]
+    if node["kind"] in TYPE_KINDS:
+        shown = [c for c in node["children"] if expanded or c["included"]]
+        if not shown:
+            return [*lines, told(f"{head} {{}}")]
+        lines.append(told(f"{head} {{"))
+        before = 0
+        for c in shown:
+            inner = _rendered(c, depth + 1, stub, numbers, expanded)
+            if before and (before > 1 or len(inner) > 1):  # what spans lines stands apart
+                lines.append("")
+            lines += inner
+            before = len(inner)
+        return [*lines, f"{pad}}}"]
+    if node["source"] is not None:
+        whole = _reindented(node["source"], pad)
+        return [*lines, told(whole[0]), *whole[1:]]
+    if node["body_offset"] is None:
+        return [*lines, told(head)]
+    return [*lines, told(f"{head} {node['accessors'] or stub}")]
+
+
+def outline(decls: DataFrame, docs: DataFrame, path: str | None, level: int, wanted: members.Wanted | None = None, directives: DataFrame | None = None, contents: DataFrame | None = None, roots: DataFrame | None = None, stub: str = "{}", numbers: bool = False, limit: int | None = None) -> DataFrame:
+    """Lines of the outline of every file in scope, tests last; between two declarations that span lines an empty one.
+
+    Level 0 shows top-level declarations, 1 also variables and cases, 2 all members, 3 their bodies; what `wanted` expands has
+    its body at any level. Bodies come from contents (path, content) and are needed for these only. With directives, docs and
+    directives are shown. roots, if given, are shown instead of top-level declarations; limit is the most of them.
+    """
+    d = decls if path is None else decls.where(scope.in_path_or_named(F.col("file_path"), path))
+    asked = wanted or members.Wanted()
+    asked = asked if asked.members is not None else replace(asked, members=members.RUNGS[min(level, members.FULL)])
+    top = (members.included_roots(d, asked) if roots is None else members.outermost(roots)).select("id", scope.is_test_path(F.col("file_path")).alias("t"), "file_path", "start_line")
+    if limit is not None:
+        top = top.orderBy("t", "file_path", "start_line", "id").limit(limit)
+    mark = lambda df, name: df.select("id", F.lit(True).alias(name)).distinct()
+    held = d.join(mark(members.included(d, asked), "included"), "id", "left").join(mark(top, "root"), "id", "left")
+    full = members.expanded_leaves(d, asked) if level < members.FULL else d.where(~F.col("kind").isin(*TYPE_KINDS))
+    held = held.join(mark(full, "whole"), "id", "left")
+    none = F.array().cast("array<struct<line:int,tag:string,value:string>>")
+    if directives is None:
+        held = held.withColumn("doc", F.lit(None).cast("string")).withColumn("tags", none)
+    else:
+        tags = directives.groupBy(F.col("decl_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("line", "tag", "value"))).alias("tags"))
+        held = held.join(docs.select(F.col("decl_id").alias("id"), F.col("text").alias("doc")), "id", "left").join(tags, "id", "left").withColumn("tags", F.coalesce("tags", none))
+    source = F.lit(None).cast("string")
+    if contents is not None:
+        held = held.join(contents.select(F.col("path").alias("file_path"), "content"), "file_path", "left")
+        source = F.when(F.col("whole"), F.substring("content", (F.col("decl_offset") + 1).cast("int"), F.col("decl_length").cast("int")).cast("string"))
+    has_body = F.col("body_offset").isNotNull()
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    rows = held.select(
+        "file_id", "file_path", "kind", "start_line", "end_line", "decl_offset", "decl_length", "body_offset", "ordinal", tx.one_space(tx.header(F.col("signature"), F.col("kind"), has_body)).alias("header"),
+        tx.accessors(F.col("signature"), F.col("kind")).alias("accessors"), "doc", "tags", source.alias("source"), flag("included"), flag("root"), asked.expanded().alias("expanded"),
+    )
 
-def ladder(decls: DataFrame, docs: DataFrame, path: str | None = None) -> DataFrame:
-    """level, bytes, estimated: three rungs measured, the one with bodies estimated from the third."""
+    def render(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["decl_offset"], -r["decl_length"], r["ordinal"]))
+        out: list[str] = []
+
+        def walk(nodes: list[dict]) -> None:
+            for n in nodes:
+                if n["root"]:
+                    lines = _rendered(n, 0, stub, numbers)
+                    out.extend([""] * bool(out and (len(lines) > 1 or out[-1][-1:] == "}")) + lines)
+                else:
+                    walk(n["children"])
+
+        walk(_forest(rows))
+        name = rows[0]["file_path"]
+        return pa.table({"file_path": pa.array([name] * len(out), pa.string()), "at": pa.array(range(len(out)), pa.int32()), "line": pa.array(out, pa.string()), "is_test": pa.array([bool(re.search("(^|/)[^/]*Tests(/|$)", name))] * len(out), pa.bool_())})
+
+    return rows.groupBy("file_id").applyInArrow(render, _LINES).orderBy("is_test", "file_path", "at")
+
+
+def ladder(decls: DataFrame, docs: DataFrame, path: str | None = None, wanted: members.Wanted | None = None, **more) -> DataFrame:
+    """level, bytes, estimated: three rungs measured, the one with bodies estimated from the third, by what its leaves' source
+    has beyond their lines in it."""
     rungs = None
-    for level in range(3):
-        cost = outline(decls, docs, path, level).agg(F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0)).alias("bytes")).select(F.lit(level).alias("level"), "bytes", F.lit(False).alias("estimated"))
+    for level in range(members.FULL):
+        cost = outline(decls, docs, path, level, wanted, **more).agg(F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0)).alias("bytes")).select(F.lit(level).alias("level"), "bytes", F.lit(False).alias("estimated"))
         rungs = cost if rungs is None else rungs.unionByName(cost)
-    scoped = decls if path is None else decls.where(scope.in_path_or_named(F.col("file_path"), path))
-    more = scoped.where(~F.col("kind").isin(*TYPE_KINDS)).agg(F.coalesce(F.sum(F.greatest(F.lit(0), F.col("decl_length") - F.octet_length(tx.one_space(F.col("signature"))) - 8)), F.lit(0)).alias("more"))
-    full = rungs.where("level = 2").crossJoin(F.broadcast(more)).select(F.lit(3).alias("level"), (F.col("bytes") + F.col("more")).alias("bytes"), F.lit(True).alias("estimated"))
+    d = decls if path is None else decls.where(scope.in_path_or_named(F.col("file_path"), path))
+    asked = replace(wanted or members.Wanted(), members=members.RUNGS[members.FULL])
+    leaves = members.included(d, asked).unionByName(members.included_roots(d, asked)).dropDuplicates(["id"]).where(~F.col("kind").isin(*TYPE_KINDS) & ~asked.expanded())
+    has_body = F.col("body_offset").isNotNull()
+    stub = F.octet_length(tx.one_space(tx.header(F.col("signature"), F.col("kind"), has_body))) + F.when(has_body, F.coalesce(F.octet_length(tx.accessors(F.col("signature"), F.col("kind"))), F.lit(2)) + 1).otherwise(0)
+    extra = leaves.agg(F.coalesce(F.sum(F.greatest(F.lit(0), F.col("decl_length") - stub)), F.lit(0)).alias("more"))
+    full = rungs.where(F.col("level") == members.FULL - 1).crossJoin(F.broadcast(extra)).select(F.lit(members.FULL).alias("level"), (F.col("bytes") + F.col("more")).alias("bytes"), F.lit(True).alias("estimated"))  # one row each
     return rungs.unionByName(full)
 
 
-def weave(tables: dict[str, DataFrame], decls: DataFrame, path: str | None = None) -> str:
-    """Book, then every file with its sidecar, docs, directives and signatures. The text is made on the driver, as its size
-    is that of what is printed."""
+def trailer(costs: list[tuple[int, int, bool]], level: int, budget: int | None = None, chosen: bool = True) -> str | None:
+    """The last line of an outline: what the budget led to, and what the next rungs cost."""
+    def size(n: int) -> str:
+        return f"{n} B" if n < 1000 else f"{n / 1000:.1f} KB"
+
+    of = {rung: (n, estimated) for rung, n, estimated in costs}
+    parts = []
+    if budget is not None and not chosen:
+        parts.append(f"--budget ignored: -L{level} was given")
+    elif budget is not None and level in of and of[level][0] > budget:
+        parts.append(f"budget {size(budget)} → -L{level} ({size(of[level][0])}, over budget — narrow the selector)")
+    elif budget is not None:
+        parts.append(f"budget {size(budget)} → -L{level}" + (f" ({'≈ ' if of[level][1] else ''}{size(of[level][0])})" if level in of else ""))
+    after = [f"-L{rung} {'≈' if estimated else '='} {size(n)}" for rung, (n, estimated) in sorted(of.items()) if rung > level]
+    parts += ["next: " + ", ".join(after)] if after else []
+    return "// " + "; ".join(parts) if parts else None
+
+
+def weave(tables: dict[str, DataFrame], decls: DataFrame, path: str | None = None, contents: DataFrame | None = None, access: str | None = None, spi: str | None = None, section: str | None = None) -> str:
+    """Book, then every file with its sidecar, docs, directives and signatures, and with the source of leaves if contents
+    (path, content) are given. The text is made on the driver, as its size is that of what is printed."""
     d = decls if path is None else decls.where(scope.in_path(F.col("file_path"), path))
+    d = d if access is None else d.where(scope.access_floor(F.col("access"), access))
+    d = d if spi is None else d.where(scope.spi_is(F.col("spi"), spi))
+    d = d if section is None else scope.with_tag(d, tables["directives"], "ai:section", "id", "decl_id", section)
     tags = tables["directives"].groupBy("decl_id").agg(F.array_sort(F.collect_list(F.struct("line", "tag", "value"))).alias("tags"))
     rows = d.join(tables["doc_comments"].select(F.col("decl_id").alias("id"), F.col("text").alias("doc")), "id", "left").join(tags.withColumnRenamed("decl_id", "id"), "id", "left")
+    source = F.lit(None).cast("string")
+    if contents is not None:
+        rows = rows.join(contents.select(F.col("path").alias("file_path"), "content"), "file_path", "left")
+        source = F.when(~F.col("kind").isin(*TYPE_KINDS), F.substring("content", (F.col("decl_offset") + 1).cast("int"), F.col("decl_length").cast("int")).cast("string"))
+    rows = rows.select("file_id", "file_path", "start_line", "ordinal", "decl_id", "signature", "doc", "tags", source.alias("source"))
     sides = {r.file_id: r.text for r in tables["narrative"].where("kind = 'sidecar'").collect()}
     out = [r.text for r in tables["narrative"].where("kind = 'book'").collect()]
     last = None
@@ -151,5 +255,5 @@ def weave(tables: dict[str, DataFrame], decls: DataFrame, path: str | None = Non
         out.append(f"### {r.decl_id}")
         out += [r.doc] if r.doc else []
         out += [f"- **{t.tag}**: {t.value}" for t in (r.tags or [])]
-        out.append(f"```swift\n{r.signature}\n```")
+        out.append(f"```swift\n{r.source or r.signature}\n```")
     return "\n\n".join(out) + "\n"

@@ -82,9 +82,9 @@ def FL12_resolve_calls(spark, d):
     return resolve.for_calls(_named_parts(spark, d), "Red Bolt").select("id", "rung")
 
 
-@_query(f"WITH p AS ({_NAMED}), r AS (SELECT id, CASE WHEN decl_id = 'small' THEN 0 WHEN lower(name) = 'small' THEN 1 WHEN contains(lower(decl_id), 'small') THEN 2 END AS rung FROM p) SELECT id, rung FROM r WHERE rung = (SELECT min(rung) FROM r)")
+@_query(f"WITH p AS ({_NAMED}), r AS (SELECT id, CASE WHEN decl_id = 'Econ' THEN 0 WHEN contains(lower(name), 'econ') THEN 1 WHEN contains(lower(decl_id), 'econ') THEN 2 END AS rung FROM p) SELECT id, rung FROM r WHERE rung = (SELECT min(rung) FROM r)")
 def FL13_resolve_outline(spark, d):
-    return resolve.for_outline(_named_parts(spark, d), "small").select("id", "rung")
+    return resolve.for_outline(_named_parts(spark, d), "Econ").select("id", "rung")
 
 
 @_query(f"WITH p AS ({_NAMED}), r AS (SELECT id, CASE WHEN decl_id = 'PROMO' THEN 0 WHEN name = 'PROMO' OR contains(lower(decl_id), 'promo') OR contains(lower(signature), 'promo') THEN 1 END AS rung FROM p) SELECT id, rung FROM r WHERE rung = (SELECT min(rung) FROM r)")
