@@ -130,26 +130,24 @@ class Model:
 
 
 def fit_weights(rows: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, prior: float, steps: int = 300, penalty: float = 1e-3) -> Model:
-    """Logistic regression on features scaled by their log-count ratio; the sample's share of either class is set right
-    afterwards, so a score is a probability at the labels' own share."""
+    """Logistic regression on features scaled by their log-count ratio. The intercept is no weight: it is the share of toxic
+    rows, in the sample while weights are fitted and of all labels (prior) afterwards. So a text without any feature, however
+    short, has the share of toxic labels as its score, and features of either sign have to speak for a class."""
     used = np.unique(np.concatenate([*rows, np.zeros(0, np.int32)]))
     where = np.concatenate([np.searchsorted(used, r).astype(np.int32) for r in rows])
     doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    scale = ratio[used]
-    w, b = np.full(len(used), 0.1), 0.0
-    m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    scale, share = ratio[used], toxic.mean()
+    w, b = np.full(len(used), 0.1), np.log(share / (1 - share))
+    m, v = np.zeros(len(used)), np.zeros(len(used))
     for step in range(1, steps + 1):
         z = b + np.bincount(doc, (scale * w)[where], minlength=len(rows))
         error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - toxic
         g = np.bincount(where, error[doc], minlength=len(used)) * scale / len(rows) + penalty * w
-        g = np.append(g, error.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
+        w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros(1 << BITS, np.float32)
     weights[used] = scale * w
-    share = toxic.mean()
-    return Model(weights, b + np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
+    return Model(weights, float(np.log(prior / (1 - prior))))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
