@@ -148,6 +148,11 @@ class Index:
         old = self.table("files") if usable else self.spark.createDataFrame([], schema.TABLES["files"])
         states = diff.file_states(disk.drop("content"), old).persist()
         counters = {k: int(v or 0) for k, v in diff.index_counters(states, full).first().asDict().items()}
+        text = narrative(self.spark, self.project)
+        told = {"schema_version": schema.SCHEMA_VERSION, "call_sites": "on" if sites else "off", "narrative": text.agg(F.sum(F.xxhash64("kind", "path", "text").cast("decimal(38,0)")).cast("string")).first()[0]}
+        if usable and not counters["added"] + counters["updated"] + counters["removed"] and all(meta.get(k) == v for k, v in told.items()):
+            states.unpersist()
+            return counters  # the snapshot is what the next one would be
         again = states.where(F.col("state").isin("unindexed", "modified", *(["fresh"] if full or not usable else []))).select("path")
         changed = disk.join(again, "path", "left_semi")
         parsed = extract(changed, sites).persist()
@@ -157,7 +162,6 @@ class Index:
         for table, columns in schema.TABLES.items():
             target = str(self.home / name / table)
             if table == "narrative":
-                text = narrative(self.spark, self.project)
                 text.select(F.when(F.col("kind") == "sidecar", F.xxhash64(F.regexp_replace("path", r"\.md$", ".swift"))).alias("file_id"), "kind", "path", "text").write.parquet(target)
                 continue
             fresh = new[table]
@@ -176,7 +180,7 @@ class Index:
         parsed.unpersist(), states.unpersist()
         pointer = self.home / "current.json"
         draft = self.home / f"current-{uuid.uuid4().hex}.json"
-        draft.write_text(json.dumps({"schema_version": schema.SCHEMA_VERSION, "call_sites": "on" if sites else "off", "snapshot": name}))
+        draft.write_text(json.dumps({**told, "snapshot": name}))
         draft.replace(pointer)
         return counters
 
