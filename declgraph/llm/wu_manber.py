@@ -11,8 +11,9 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import common
 
@@ -89,13 +90,15 @@ def _spans(marks: bytearray) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-_FOUND = "n_words long, starts array<int>, ends array<int>, items array<long>"
-_FOUND_FIELDS = [("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))]
+_FOUND = "n_words long, starts array<int>, ends array<int>, items array<{item}>"
+_FOUND_FIELDS = [("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))]
 
 
-def _scan(tables, text_at: int, before: bool):
+def _scan(tables, text_at: int, before: bool, item: str = "long"):
     """Searches the text in column text_at; columns of an earlier pass (the last four) are added to."""
 
+    fields = [*_FOUND_FIELDS, ("items", pa.list_(pa.int64() if item == "long" else pa.string()))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: WuManber = tables.value
         for batch in batches:
@@ -112,15 +115,15 @@ def _scan(tables, text_at: int, before: bool):
                 for column, value in zip(out, (len(words), *_spans(marks), sorted(items)), strict=True):
                     column.append(value)
             names = batch.schema.names[: len(kept)]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, (_, t) in zip(out, _FOUND_FIELDS, strict=True))], names=[*names, *(n for n, _ in _FOUND_FIELDS)])
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, (_, t) in zip(out, fields, strict=True))], names=[*names, *(n for n, _ in fields)])
 
     return run
 
 
-def _tables(spark: SparkSession, benchmark: DataFrame, item_col: str, text_col: str, window: int, table_bytes: int) -> Iterator:
+def _tables(spark: SparkSession, benchmark: DataFrame, item: Column, text_col: str, window: int, table_bytes: int) -> Iterator:
     """Broadcast tables; the driver holds one at a time, of table_bytes of text at most (or one longer item)."""
     held, size = [], 0
-    rows = benchmark.select(F.col(item_col).cast("long"), F.col(text_col).cast("binary"))
+    rows = benchmark.select(item, F.col(text_col).cast("binary"))
     for item, text in rows.toLocalIterator():
         held.append((item, bytes(text) if text is not None else None))
         size += len(text or b"")
@@ -133,7 +136,7 @@ def _tables(spark: SparkSession, benchmark: DataFrame, item_col: str, text_col:
 
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The columns `keep` of docs (all by default; they may be null or repeat) with n_words, starts and ends (word spans
-    that lie in occurrences, end exclusive) and items (ids of the items that occur, ascending).
+    that lie in occurrences, end exclusive) and items (ids of the items that occur, ascending: numbers, or texts if they are).
 
     Null and empty texts have no words. Items without words match nothing; items with a null id are hits without a name.
     An empty benchmark hits nothing. No shuffle: each table is broadcast (bounded by table_bytes) and rows stream by; with
@@ -145,11 +148,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: li
     names = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(text_col).cast("binary").alias("words_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    first = True
-    for table in _tables(spark, benchmark, item_col, item_text, window, table_bytes):
+    kind = "long" if isinstance(benchmark.schema[item_col].dataType, IntegralType) else "string"
+    found, first = _FOUND.format(item=kind), True
+    for table in _tables(spark, benchmark, F.col(item_col).cast(kind), item_text, window, table_bytes):
         rows = rows if first else common.materialize(rows, "wu-manber")
-        rows = rows.mapInArrow(common.tidy(_scan(table, len(names), not first)), f"{schema}, {_FOUND}")
+        rows = rows.mapInArrow(common.tidy(_scan(table, len(names), not first, kind)), f"{schema}, {found}")
         first = False
     if first:
-        rows = rows.mapInArrow(common.tidy(_scan(spark.sparkContext.broadcast(WuManber([], window)), len(names), False)), f"{schema}, {_FOUND}")
+        rows = rows.mapInArrow(common.tidy(_scan(spark.sparkContext.broadcast(WuManber([], window)), len(names), False, kind)), f"{schema}, {found}")
     return rows.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), "n_words", "starts", "ends", "items")
