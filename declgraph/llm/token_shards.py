@@ -170,13 +170,14 @@ def _blocks(tokenizer: str, end_id: int, block_tokens: int, block_docs: int):
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 20, block_docs: int = 1 << 14) -> None:
-    """Encode texts in ascending order of id (null ids first, equal ids by text) and write shard blocks to path.
+    """Encode texts in ascending order of id (null ids first, equal ids by a hash of the text) and write shard blocks to path.
 
     Null texts are empty; every document gets end_id. One range shuffle of ids and texts; a block holds block_tokens ids
     and block_docs documents at most, or one longer document.
     """
     common.arrow_batches(docs.sparkSession, 3600)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("by", F.xxhash64("text"))
+    rows = rows.repartitionByRange("id", "by").sortWithinPartitions("id", "by", "text").drop("by")  # so rows of one id can be split
     rows.mapInArrow(_blocks(tokenizer, end_id, block_tokens, block_docs), _BLOCKS).write.option("compression", "lz4_raw").parquet(path)
 
 
