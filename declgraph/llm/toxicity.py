@@ -29,6 +29,8 @@ MOST_BROADCAST = 2_000_000
 #: Tasks whose counts (256 KB each) are added up together, and rounds of that: enough for FAN_IN ** ROUNDS tasks.
 FAN_IN, ROUNDS = 64, 3
 _CHUNK = 1 << 14
+#: Features that one step of the fit holds as numbers at a time.
+_FIT_BLOCK = 1 << 19
 _SLICE = 1 << 16
 _LETTERS = bytes((b | 32) if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -132,17 +134,31 @@ class Model:
 def fit_weights(rows: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, prior: float, steps: int = 300, penalty: float = 1e-3) -> Model:
     """Logistic regression on features scaled by their log-count ratio. The intercept is no weight: it is the share of toxic
     rows, in the sample while weights are fitted and of all labels (prior) afterwards. So a text without any feature, however
-    short, has the share of toxic labels as its score, and features of either sign have to speak for a class."""
-    used = np.unique(np.concatenate([*rows, np.zeros(0, np.int32)]))
-    where = np.concatenate([np.searchsorted(used, r).astype(np.int32) for r in rows])
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    short, has the share of toxic labels as its score, and features of either sign have to speak for a class. Rows are taken a
+    block at a time, and let go of once they are in one."""
+    seen = np.zeros(1 << BITS, bool)
+    for r in rows:
+        seen[r] = True
+    used = np.flatnonzero(seen)
+    number = np.cumsum(seen, dtype=np.int32) - 1
+    blocks, at = [], 0  # (first row, features of its rows one after the other, how many each row has)
+    while at < len(rows):
+        end, size = at, 0
+        while end < len(rows) and (size < _FIT_BLOCK or end == at):
+            size += len(rows[end])
+            end += 1
+        blocks.append((at, number[np.concatenate(rows[at:end])], np.array([len(r) for r in rows[at:end]])))
+        rows[at:end] = [None] * (end - at)
+        at = end
     scale, share = ratio[used], toxic.mean()
     w, b = np.full(len(used), 0.1), np.log(share / (1 - share))
     m, v = np.zeros(len(used)), np.zeros(len(used))
     for step in range(1, steps + 1):
-        z = b + np.bincount(doc, (scale * w)[where], minlength=len(rows))
-        error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - toxic
-        g = np.bincount(where, error[doc], minlength=len(used)) * scale / len(rows) + penalty * w
+        g, sw = penalty * w, scale * w
+        for first, where, counts in blocks:
+            z = b + np.bincount(np.repeat(np.arange(len(counts), dtype=np.int32), counts), sw[where], minlength=len(counts))
+            error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - toxic[first : first + len(counts)]
+            g += np.bincount(where, np.repeat(error, counts), minlength=len(used)) * scale / len(toxic)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros(1 << BITS, np.float32)
@@ -180,11 +196,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = [told.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(PER_CLASS) for c in (0, 1)]
     ids = F.broadcast(picked[0].unionAll(picked[1]).select("id"))  # bounded by PER_CLASS
     found = rows.join(ids, "id", "left_semi").select("id", "toxic", "text").mapInArrow(common.tidy(chosen), "id long, toxic int, numbers binary")
-    sample = found.dropDuplicates(["id"]).collect()
-    toxic = np.array([r.toxic for r in sample], float)
+    sample = found.dropDuplicates(["id"]).toArrow()
+    toxic = sample.column("toxic").to_numpy().astype(float)
     if not 0 < toxic.sum() < len(toxic):
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(n[1] / n[0])))
-    return fit_weights([np.frombuffer(bytes(r.numbers), "<i4") for r in sample], toxic, ratio, n[1] / n.sum())
+    features = [np.frombuffer(x.as_py(), "<i4") for x in sample.column("numbers")]
+    del sample
+    model = fit_weights(features, toxic, ratio, n[1] / n.sum())
+    common.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
