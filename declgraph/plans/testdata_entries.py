@@ -93,9 +93,9 @@ def FL14_resolve_edit(spark, d):
 
 
 @_query("""SELECT target, coalesce(path, '-') AS path, coalesce(name, '-') AS name, coalesce(member, '-') AS member FROM (VALUES
-('Walker', NULL, 'Walker', NULL), ('Walk:enum', NULL, 'Walk', 'enum'), ('Sources/App/A.swift', 'Sources/App/A.swift', NULL, NULL), ('A.swift:run', 'A.swift', NULL, 'run'), ('.', NULL, NULL, NULL), (':x', NULL, NULL, 'x'), ('', NULL, NULL, NULL), ('T:', NULL, 'T', NULL), ('a:b:c', NULL, 'a', 'b:c'), ('/elsewhere/x', '/elsewhere/x', NULL, NULL)) AS v(target, path, name, member)""")
+('Parcel', NULL, 'Parcel', NULL), ('Parc:enum', NULL, 'Parc', 'enum'), ('Sources/App/A.swift', 'Sources/App/A.swift', NULL, NULL), ('A.swift:run', 'A.swift', NULL, 'run'), ('.', NULL, NULL, NULL), (':x', NULL, NULL, 'x'), ('', NULL, NULL, NULL), ('T:', NULL, 'T', NULL), ('a:b:c', NULL, 'a', 'b:c'), ('/elsewhere/x', '/elsewhere/x', NULL, NULL)) AS v(target, path, name, member)""")
 def FL17_selectors(spark, d):
-    texts = ["Walker", "Walk:enum", "Sources/App/A.swift", "A.swift:run", ".", ":x", "", "T:", "a:b:c", "/elsewhere/x"]
+    texts = ["Parcel", "Parc:enum", "Sources/App/A.swift", "A.swift:run", ".", ":x", "", "T:", "a:b:c", "/elsewhere/x"]
     found = [(t, members.Selector.parse(t, "/nowhere/at-all")) for t in texts]
     return spark.createDataFrame([(t, s.path or "-", s.name or "-", s.member or "-") for t, s in found], "target string, path string, name string, member string")
 
