@@ -34,4 +34,26 @@ ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-ORACLES = {"op10_neighbours": OP10, "op4_wu_manber": OP4, "op5_url_rules": OP5}
+
+def _rounds(n: int, k: int = 16) -> str:
+    """Centroids and assignments of op12, one pair of tables for each round and an assignment at the end."""
+    out = [f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) - 1 AS k, x FROM v QUALIFY k < {k})"]
+    near = "SELECT v.r, v.vec_id, v.x, c.k, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) AS d FROM v, c{0} c"
+    for i in range(n + 1):
+        out.append(f"a{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, k) AS at_ FROM ({near.format(i)})) WHERE at_ = 1)")
+        if i < n:
+            cell = f"SELECT k, i, (sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*) AS m FROM a{i}, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2"
+            out.append(f"c{i + 1} AS (SELECT k, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (SELECT k, list(m::HUGEINT ORDER BY i) AS x FROM ({cell}) GROUP BY 1) m USING (k))")
+    return ", ".join(out)
+
+
+OP12 = f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::HUGEINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+{_rounds(3)}
+SELECT vec_id, a.k::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a3 a JOIN c3 c ON a.k = c.k
+"""
+
+ORACLES = {"op10_neighbours": OP10, "op12_centroids": OP12, "op4_wu_manber": OP4, "op5_url_rules": OP5}
