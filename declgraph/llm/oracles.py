@@ -56,4 +56,19 @@ SELECT vec_id, a.k::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PAR
 FROM a3 a JOIN c3 c ON a.k = c.k
 """
 
-ORACLES = {"op10_neighbours": OP10, "op12_centroids": OP12, "op4_wu_manber": OP4, "op5_url_rules": OP5}
+
+OP13 = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\\x0A-\\x0D]')) AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(t, '[^\\x20\\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY 1),
+f AS (SELECT lang, p, k, count(*)::HUGEINT AS f FROM (SELECT lang, k, w[i:i + k - 1] AS p FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k))) GROUP BY ALL HAVING f >= 100),
+cuts AS (SELECT c.lang, c.p, c.k, c.f AS a, n, x.f AS l, y.f AS r, (1000 * c.f * n) // (x.f * y.f) AS score, x.k AS cut
+  FROM f c JOIN n USING (lang) JOIN f x ON x.lang = c.lang AND x.k < c.k AND x.p = c.p[1:x.k] JOIN f y ON y.lang = c.lang AND y.k = c.k - x.k AND y.p = c.p[x.k + 1:c.k] WHERE c.k > 1),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+inside AS (SELECT DISTINCT lang, p[i:i + m - 1] AS p, f FROM (SELECT lang, p, k, f, m, unnest(range(1, k - m + 2)) AS i FROM f, (SELECT unnest([2, 3, 4]) AS m) WHERE m < k)),
+kept AS (SELECT b.lang, array_to_string(b.p, ' ') AS phrase, a, l, r, n, score FROM best b WHERE NOT EXISTS (SELECT 1 FROM inside x WHERE x.lang = b.lang AND x.p = b.p AND x.f >= b.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+ORACLES = {"op10_neighbours": OP10, "op12_centroids": OP12, "op13_collocations": OP13, "op4_wu_manber": OP4, "op5_url_rules": OP5}
