@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, common, main_text, near_duplicates, neighbours, packing, passages, phrases, privacy, token_shards, toxicity, url_rules, wu_manber
+from . import centroids, common, main_text, near_duplicates, neighbours, packing, passages, phrases, privacy, quality, token_shards, toxicity, url_rules, wu_manber
 from .oracles import ORACLES
 
 
@@ -78,6 +78,12 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.train(docs, _read(spark, sf_dir, "labels").where(~held_out()))
+    return quality.judge(docs, model, ["doc_id"])
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_read(spark, sf_dir, "embeddings"), k=16, rounds=3, dimension=64, scale=64)
 
@@ -88,7 +94,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {"pipeline": corpus_pipeline.run}
-    return found | {f.__name__: f for f in (op1_token_shards, op2_main_text, op3_passages, op4_wu_manber, op5_url_rules, op6_privacy, op7_toxicity, op8_packing, op9_near_duplicates, op10_neighbours, op12_centroids, op13_collocations)}
+    return found | {f.__name__: f for f in (op1_token_shards, op2_main_text, op3_passages, op4_wu_manber, op5_url_rules, op6_privacy, op7_toxicity, op8_packing, op9_near_duplicates, op10_neighbours, op11_quality, op12_centroids, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
