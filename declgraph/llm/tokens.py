@@ -20,8 +20,9 @@ _ODD = "[\x0b\x0c\x1c-\x1f\u0085  ᠎ -​    　﻿\x01]"
 _RUNS = _ODD + "|[ \t\n\r]{3}|[ \t\n\r]{2}$"
 #: Bytes of text that are encoded together, and that one call of the library gets.
 _SLICE, _CALL = 6 << 20, 1 << 16
-#: Letters, then signs: two pieces of either kind of tokenizer.
-_WORD_SIGNS = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([!-&(-/:-@]+)").fullmatch
+#: Letters, then signs: two pieces of either kind of tokenizer. Each letter is one in lower case, too; U+0130, the only one in
+#: these ranges that is not, becomes a letter and a mark, and the mark may belong to the signs behind it.
+_WORD_SIGNS = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-&(-/:-@]+)").fullmatch
 
 
 class ChunkEncoder:
