@@ -80,8 +80,7 @@ def grade(unique: Column) -> Column:
 def candidates(sites: DataFrame, decls: DataFrame, bindings: DataFrame, conformances: DataFrame, include_refs: bool = False) -> DataFrame:
     """One row for each site and declaration of its name, with both ranks: rank_in over all declarations of the name, and
     rank_out over those a call can mean (no extensions)."""
-    wanted = sites if include_refs else sites.where(F.col("kind") == "call")
-    s = typed_sites(wanted, decls, bindings).select(F.col("id").alias("site"), F.col("file_id").alias("origin_file"), F.col("from_decl").alias("origin"), "name", "receiver", "receiver_type", "origin_container", F.col("kind").alias("site_kind"), "line")
+    s = _told(sites, decls, bindings, include_refs)
     usable = F.count_if(F.col("kind") != "extension")
     counts = decls.groupBy("name").agg(F.count("*").alias("n_all"), usable.alias("n_calls"))
     d = decls.select("name", F.col("id").alias("target"), "container", "file_id", F.col("kind").alias("target_kind")).join(counts, "name")
@@ -100,6 +99,78 @@ def edges_in(rows: DataFrame) -> DataFrame:
     return kept.groupBy("target", "origin").agg(F.count("*").alias("occurrences"), F.max("rank_in").alias("rank"), best.alias("b")).select("target", "origin", "occurrences", "rank", F.col("b.line").alias("line"), F.col("b.receiver").alias("receiver"), F.lit(None).cast("long").alias("via"))
 
 
+def _told(sites: DataFrame, decls: DataFrame, bindings: DataFrame, include_refs: bool) -> DataFrame:
+    """Sites that count, with all that grades them."""
+    wanted = sites if include_refs else sites.where(F.col("kind") == "call")
+    return typed_sites(wanted, decls, bindings).select(F.col("id").alias("site"), F.col("file_id").alias("origin_file"), F.col("from_decl").alias("origin"), "name", "receiver", "receiver_type", "origin_container", F.col("kind").alias("site_kind"), "line")
+
+
+def sure_rows(told: DataFrame, decls: DataFrame, conformances: DataFrame) -> DataFrame:
+    """(site, target) rows of at least medium rank_in, without meeting all declarations of a site's name.
+
+    Whatever lifts a candidate above low is an equality besides the name: its container is the receiver, the receiver's type or
+    the caller's container, conforms to the receiver's type, its file is the caller's, or it is the only one of its name. Sites
+    and declarations are dealt by these. A row may come twice."""
+    key = lambda tag, value: F.concat(F.lit(tag), value.cast("string"))
+    of = F.col
+    bare = of("receiver").isNull()
+    keys = [F.lit("only"), key("in:", of("receiver")), key("in:", of("receiver_type")), key("as:", of("receiver_type")), F.when(bare, key("in:", of("origin_container"))), F.when(bare, key("at:", of("origin_file")))]
+    s = told.withColumn("key", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))))
+    parents = conforming(conformances)
+    counted = decls.select("name", F.col("id").alias("target"), "container", "file_id").join(decls.groupBy("name").agg(F.count("*").alias("n_all")), "name")
+    alone = F.array_compact(F.array(key("in:", of("container")), key("at:", of("file_id")), F.when(of("n_all") == 1, F.lit("only"))))
+    held = counted.withColumn("key", F.explode(alone))
+    above = counted.join(parents.select(F.col("type_name").alias("container"), "parent"), "container").withColumn("key", key("as:", of("parent"))).drop("parent")
+    rows = s.join(held.unionByName(above.select(*held.columns)), ["name", "key"]).drop("key")
+    step = parents.select(F.col("type_name").alias("container"), F.col("parent").alias("receiver_type"), F.lit(True).alias("conforms"))
+    known = protocols(decls).select(F.col("name").alias("receiver_type"), F.lit(True).alias("known_protocol"))
+    rows = rows.join(step, ["container", "receiver_type"], "left").join(known, "receiver_type", "left")
+    rows = rows.withColumn("conforms", F.coalesce("conforms", F.lit(False))).withColumn("known_protocol", F.coalesce("known_protocol", F.lit(False)))
+    return rows.withColumn("rank_in", grade(F.col("n_all") == 1)).where(F.col("rank_in") >= MEDIUM)
+
+
+def groups(told: DataFrame) -> DataFrame:
+    """(name, origin) of the sites, with how many there are and what the first one tells."""
+    first = F.min_by(F.struct("line", "receiver"), F.struct("origin_file", "line", "site"))
+    return told.groupBy("name", "origin").agg(F.count("*").alias("occurrences"), first.alias("first"))
+
+
+def callers(sites: DataFrame, decls: DataFrame, bindings: DataFrame, conformances: DataFrame, include_refs: bool = False, least: int = LOW) -> DataFrame:
+    """(target, origin) edges as a target sees its callers, of at least a rank: occurrences, rank, line and receiver of the best
+    site, via.
+
+    A caller has as many sites of a name for each declaration of it. So they are counted once for the name, and what lifts one
+    declaration above others comes from sure_rows. From medium on, work grows with sites and edges, however many declarations
+    share a name; low edges are all pairs of a name's callers and declarations."""
+    told = _told(sites, decls, bindings, include_refs)
+    best = F.min_by(F.struct("line", "receiver"), F.struct(-F.col("rank_in"), "origin_file", "line", "site"))
+    sure = sure_rows(told, decls, conformances).where(~F.coalesce(F.col("origin") == F.col("target"), F.lit(False)))
+    sure = sure.groupBy("name", "target", "origin").agg(F.max("rank_in").alias("rank"), best.alias("best"))
+    every = groups(told)
+    none = F.lit(None).cast("long").alias("via")
+    if least >= MEDIUM:
+        o = every.select(F.col("name").alias("o_name"), F.col("origin").alias("o_origin"), "occurrences")
+        met = sure.where(F.col("rank") >= least).join(o, (F.col("name") == F.col("o_name")) & F.col("origin").eqNullSafe(F.col("o_origin")))
+        return met.select("target", "origin", "occurrences", "rank", "best.line", "best.receiver", none)
+    pairs = every.join(decls.select("name", F.col("id").alias("target")), "name").where(~F.coalesce(F.col("origin") == F.col("target"), F.lit(False)))
+    s = sure.select(F.col("target").alias("s_target"), F.col("origin").alias("s_origin"), "rank", "best").hint("shuffle_hash")
+    met = pairs.join(s, (F.col("target") == F.col("s_target")) & F.col("origin").eqNullSafe(F.col("s_origin")), "left")
+    shown = F.when(F.col("rank").isNull(), F.col("first")).otherwise(F.col("best"))
+    return met.select("target", "origin", "occurrences", F.coalesce("rank", F.lit(LOW)).alias("rank"), shown["line"].alias("line"), shown["receiver"].alias("receiver"), none)
+
+
+def unseen(edges: DataFrame, sites: DataFrame, decls: DataFrame) -> DataFrame:
+    """edges of callers, low ones left out, with `more`: how many low ones their target has. A name's callers have an edge to
+    each of its declarations but themselves, so none of these is made to be counted."""
+    made = sites.select("name", F.col("from_decl").alias("origin")).distinct()
+    all_of = made.groupBy("name").agg(F.count("*").alias("all_of"))
+    own = made.join(decls.select("name", F.col("id").alias("origin")), ["name", "origin"], "left_semi").select(F.col("origin").alias("target"), F.lit(1).alias("own"))
+    shown = edges.groupBy("target").agg(F.count("*").alias("shown"))
+    counted = shown.join(decls.select(F.col("id").alias("target"), "name"), "target").join(all_of, "name", "left").join(own, "target", "left")
+    more = F.coalesce("all_of", F.lit(0)) - F.coalesce("own", F.lit(0)) - F.col("shown")
+    return edges.join(counted.select("target", more.alias("more")), "target")
+
+
 def only_named(rows: DataFrame) -> DataFrame:
     """Of sites whose receiver names the container of candidates, these only."""
     named = F.coalesce(F.col("container") == F.col("receiver"), F.lit(False))
@@ -138,20 +209,23 @@ def with_dispatch_in(edges: DataFrame, decls: DataFrame, conformances: DataFrame
     """Callers of a requirement also reach its implementations, at medium at most and only where strictly better.
 
     All requirements of one name in one protocol have the same implementations. So a caller's edges to them are one row
-    before they are joined with conforming types, and again one before they are joined with the types' members."""
+    before they are joined with conforming types, and again one before they are joined with the types' members. Low edges of a
+    requirement add nothing: its callers have such an edge to every declaration of its name."""
     best = lambda via: F.min_by(F.struct("rank", "line", "receiver", via.alias("via")), F.struct(-F.col("rank"), via)).alias("b")
     members = decls.select("id", "name", F.col("container").alias("type_name"))
     abstract = decls.select(F.col("id").alias("target"), "name", F.col("container").alias("protocol_name"))
     pairs = conformances.select("type_name", "protocol_name").where("type_name <> protocol_name").distinct()
-    met = edges.join(abstract.join(pairs.select("protocol_name").distinct(), "protocol_name", "left_semi"), "target").withColumn("rank", F.least("rank", F.lit(MEDIUM)))
+    met = edges.where(F.col("rank") > LOW).join(abstract.join(pairs.select("protocol_name").distinct(), "protocol_name", "left_semi"), "target").withColumn("rank", F.least("rank", F.lit(MEDIUM)))
     met = met.groupBy("origin", "protocol_name", "name").agg(best(F.col("target")), F.max("occurrences").alias("occurrences")).select("origin", "protocol_name", "name", "occurrences", "b.*")
     met = met.join(pairs, "protocol_name").groupBy("origin", "type_name", "name").agg(best(F.col("via")), F.max("occurrences").alias("occurrences")).select("origin", "type_name", "name", "occurrences", "b.*")
     over = met.join(members, ["type_name", "name"]).select(F.col("id").alias("target"), "origin", "occurrences", "rank", "line", "receiver", "via")
     over = over.where(~F.coalesce(F.col("origin") == F.col("target"), F.lit(False)))
-    both = edges.withColumn("own", F.lit(True)).unionByName(over.withColumn("own", F.lit(False)))
-    first = F.min_by(F.struct("rank", "line", "receiver", "via"), F.struct(-F.col("rank"), ~F.col("own"), "via"))
-    own = F.max(F.when(F.col("own"), F.col("occurrences")))
-    return both.groupBy("target", "origin").agg(first.alias("b"), F.coalesce(own, F.max("occurrences")).alias("occurrences")).select("target", "origin", "occurrences", "b.rank", "b.line", "b.receiver", "b.via")
+    o = over.select(*(F.col(c).alias(f"o_{c}") for c in over.columns)).hint("shuffle_hash")  # one row for a target and origin, as in edges
+    both = edges.join(o, (F.col("target") == F.col("o_target")) & F.col("origin").eqNullSafe(F.col("o_origin")), "full")
+    better = F.col("target").isNull() | F.coalesce(F.col("o_rank") > F.col("rank"), F.lit(False))
+    shown = [F.when(better, F.col(f"o_{c}")).otherwise(F.col(c)).alias(c) for c in ("rank", "line", "receiver", "via")]
+    origin = F.when(F.col("target").isNull(), F.col("o_origin")).otherwise(F.col("origin"))
+    return both.select(F.coalesce("target", "o_target").alias("target"), origin.alias("origin"), F.coalesce("occurrences", "o_occurrences").alias("occurrences"), *shown)
 
 
 def with_dispatch_out(edges: DataFrame, decls: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -172,7 +246,8 @@ def traverse(roots: DataFrame, edges: DataFrame, depth: int = 2, floor: int = ME
     whole = Window.partitionBy(src)
     best = whole.orderBy(F.desc("rank"), *order, dst)
     above = F.col("rank") >= floor
-    kept = edges.withColumn("suppressed", F.count_if(~above).over(whole)).withColumn("of", F.count_if(above).over(whole)).withColumn("at", F.row_number().over(best)).where(above)
+    more_low = F.max("more").over(whole) if "more" in edges.columns else F.lit(0)  # of `unseen`
+    kept = edges.withColumn("suppressed", F.count_if(~above).over(whole) + more_low).withColumn("of", F.count_if(above).over(whole)).withColumn("at", F.row_number().over(best)).where(above)
     more = F.lit(False)
     if limit is not None:  # what is below the floor comes last in the order
         kept, more = kept.where(F.col("at") <= limit), F.col("of") > limit

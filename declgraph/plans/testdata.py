@@ -376,7 +376,7 @@ def _grade_sql(unique: str) -> str:
 _ROWS = _ROWS.format(grade_all=_grade_sql("n_all = 1"), grade_calls=_grade_sql("n_calls = 1"))
 
 
-def _graph_rows(spark, d):
+def _graph_tables(spark, d):
     c, o = _t(spark, d, "customer"), _t(spark, d, "orders")
     k, n = F.col("c_custkey"), F.col("o_orderkey")
     kind = F.when(k % 7 == 0, "protocol").when(k % 7 == 1, "extension").when(k % 7 == 2, "var").otherwise("func")
@@ -386,6 +386,11 @@ def _graph_rows(spark, d):
     sites = o.select(n.alias("id"), (F.col("o_custkey") % 25).alias("file_id"), F.when(n % 11 > 0, F.col("o_custkey")).alias("from_decl"), F.concat(F.lit("n"), n % 500).alias("name"), receiver.alias("receiver"), F.when(n % 6 == 0, "ref").otherwise("call").alias("kind"), (n % 1000).alias("line"))
     bindings = o.where(n % 3 == F.col("o_custkey") % 3).select(F.col("o_custkey").alias("from_decl"), F.concat(F.lit("n"), n % 13).alias("name"), F.when(n % 3 == 0, "FURNITURE").when(n % 3 == 1, "AUTOMOBILE").otherwise("n7").alias("type"), n.alias("line"))
     conform = spark.createDataFrame([("BUILDING", "n7"), ("MACHINERY", "BUILDING"), ("FURNITURE", "AUTOMOBILE"), ("HOUSEHOLD", "FURNITURE")], "type_name string, protocol_name string")
+    return sites, decls, bindings, conform
+
+
+def _graph_rows(spark, d):
+    sites, decls, bindings, conform = _graph_tables(spark, d)
     return decls, graph.candidates(sites, decls, bindings, conform), conform
 
 
@@ -399,7 +404,7 @@ _IN = f"WITH {_ROWS}, e AS (SELECT target, origin, count(*)::BIGINT AS occurrenc
 
 @_query(_IN + " SELECT target, coalesce(origin, 0) AS origin, occurrences, rank, x.line AS line, x.receiver AS receiver FROM e")
 def GR05_callers(spark, d):
-    return graph.edges_in(_graph_rows(spark, d)[1]).drop("via").withColumn("origin", F.coalesce("origin", F.lit(0)))
+    return graph.callers(*_graph_tables(spark, d)).drop("via").withColumn("origin", F.coalesce("origin", F.lit(0)))
 
 
 _OUT = f"""WITH {_ROWS}, u AS (SELECT *, coalesce(container = receiver, false) AS named FROM r WHERE origin IS NOT NULL AND (site_kind <> 'call' OR target_kind <> 'extension')),

@@ -11,7 +11,7 @@ from ..operators import diff, graph, history, intervals, members, ranks, resolve
 from ..operators import invocations as inv
 from ..schema import ACCESS, CONFIDENCE, normal_access, rank
 from . import records, reports, usage, volatility
-from .testdata import _BINDINGS, _CONFORM, _DECLS, _IN, _LINE_ORDER, _OUT, _RANGES, _ROWS, _SITES, _events, _graph_rows, _query, _ranges, _states, _t
+from .testdata import _BINDINGS, _CONFORM, _DECLS, _IN, _LINE_ORDER, _OUT, _RANGES, _ROWS, _SITES, _events, _graph_rows, _graph_tables, _query, _ranges, _states, _t
 from .testdata_more import _PAIRS, _TREE, _tree
 
 # --- filters
@@ -346,7 +346,7 @@ def AG25_radius_by_grade(spark, d):
 
 @_query(_IN + " SELECT target, count(*)::BIGINT AS callers, sum(occurrences)::BIGINT AS occurrences, max(rank) AS best FROM e GROUP BY 1")
 def AG26_edges_by_target(spark, d):
-    return graph.edges_in(_graph_rows(spark, d)[1]).groupBy("target").agg(F.count("*").alias("callers"), F.sum("occurrences").alias("occurrences"), F.max("rank").alias("best"))
+    return graph.callers(*_graph_tables(spark, d)).groupBy("target").agg(F.count("*").alias("callers"), F.sum("occurrences").alias("occurrences"), F.max("rank").alias("best"))
 
 
 @_query("""WITH w AS (SELECT user_id AS target, lag(event_type) OVER p AS first_, event_type AS then_, epoch_us(ts) - lag(epoch_us(ts)) OVER p AS since FROM events WHERE event_type <> 'error' WINDOW p AS (PARTITION BY user_id ORDER BY event_id))
@@ -392,6 +392,18 @@ def TK05_access_order(spark, d):
     return _t(spark, d, "part").groupBy(normal_access(access).alias("access")).agg(F.count("*").alias("n")).orderBy(members.by_access()).limit(4)
 
 
+@_query(_IN + " SELECT target, coalesce(origin, 0) AS origin, occurrences, rank, x.line AS line, x.receiver AS receiver FROM e WHERE rank >= 1")
+def GR02_sure_callers(spark, d):
+    return graph.callers(*_graph_tables(spark, d), least=graph.MEDIUM).drop("via").withColumn("origin", F.coalesce("origin", F.lit(0)))
+
+
+@_query(_IN + ", t AS (SELECT target, count(*) FILTER (rank >= 1) AS shown, count(*) FILTER (rank < 1) AS more FROM e GROUP BY 1) SELECT target, shown::BIGINT AS shown, more::BIGINT AS more FROM t WHERE shown > 0")
+def GR11_suppressed_callers(spark, d):
+    sites, decls, bindings, conform = _graph_tables(spark, d)
+    sure = graph.callers(sites, decls, bindings, conform, least=graph.MEDIUM)
+    return graph.unseen(sure, sites.where("kind = 'call'"), decls).groupBy("target").agg(F.count("*").alias("shown"), F.first("more").alias("more"))
+
+
 @_query(f"""WITH {_ROWS} SELECT target, string_agg(site::VARCHAR, ',' ORDER BY rank_in DESC, origin_file, line, site) AS sites FROM r GROUP BY 1""")
 def TK06_sure_first(spark, d):
     rows = _graph_rows(spark, d)[1]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import graph, history, ranks, resolve, scope
-from .testdata import _IN, _MASS, _OUT, _ROWS, _events, _graph_rows, _mass, _query, _t
+from .testdata import _IN, _MASS, _OUT, _ROWS, _events, _graph_rows, _graph_tables, _mass, _query, _t
 
 
 @_query(f"SELECT quantile_disc(declarations, 0.25)::BIGINT AS p25, quantile_disc(declarations, 0.75)::BIGINT AS p75, quantile_disc(declarations, 1.0)::BIGINT AS p100 FROM ({_MASS})")
@@ -149,8 +149,8 @@ def JN11_implementations(spark, d):
 UNION ALL SELECT implementation, origin, occurrences, least(rank, 1), false, requirement FROM e JOIN i ON e.target = i.requirement WHERE origin IS NULL OR origin <> implementation)
 SELECT target, coalesce(origin, -1) AS origin, max(rank) AS rank, coalesce(max(occurrences) FILTER (own), max(occurrences))::BIGINT AS occurrences FROM u2 GROUP BY 1, 2""")
 def GR06_callers_with_dispatch(spark, d):
-    decls, rows, conform = _graph_rows(spark, d)
-    return graph.with_dispatch_in(graph.edges_in(rows), decls, conform).select("target", F.coalesce("origin", F.lit(-1)).alias("origin"), "rank", "occurrences")
+    sites, decls, bindings, conform = _graph_tables(spark, d)
+    return graph.with_dispatch_in(graph.callers(sites, decls, bindings, conform), decls, conform).select("target", F.coalesce("origin", F.lit(-1)).alias("origin"), "rank", "occurrences")
 
 
 @_query(_OUT + f""", {_PAIRS}, more AS (SELECT DISTINCT e.origin, implementation AS target, least(e.rank, 1) AS rank FROM e JOIN d q ON q.id = e.target JOIN i ON i.requirement = e.target WHERE q.container IN (SELECT name FROM d WHERE kind = 'protocol') AND e.origin <> implementation)
