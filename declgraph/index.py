@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import schema, sqltext
+from . import schema, snapshots, sqltext
 from .edits import fold
 from .operators import diff, graph, members, ranks, resolve, scope
 from .plans import records, reports, usage, volatility
@@ -45,6 +45,10 @@ class BusyError(RuntimeError):
 
 #: How long a writer waits for another one.
 BUSY_SECONDS = 5.0
+#: How long a reader waits for another one that makes edges.
+EDGE_SECONDS = 3600.0
+#: Low edges (of callers) beyond this number are made for walks that ask for them only.
+MOST_PAIRS = 50_000_000
 
 
 def _locked(lock, seconds: float) -> None:
@@ -99,8 +103,8 @@ def tables_of(files: DataFrame, parsed: DataFrame) -> dict[str, DataFrame]:
         "files": files.select(F.xxhash64("path").alias("id"), "path", "mtime", "sha256", "bytes", F.lit(time.time()).alias("last_indexed")),
         "declarations": decls.select("id", "r.decl_id", "file_id", *(f"r.{c}" for c in plain if c != "decl_id")),
         "imports": _explode(parsed, "imports").select("file_id", "r.*"),
-        "doc_comments": decls.where("r.doc is not null").select(F.col("id").alias("decl_id"), F.col("r.doc").alias("text")),
-        "directives": decls.select(F.col("id").alias("decl_id"), F.explode("r.directives").alias("t")).select("decl_id", "t.*"),
+        "doc_comments": decls.where("r.doc is not null").select(F.col("id").alias("decl_id"), F.col("r.doc").alias("text"), "file_id"),
+        "directives": decls.select(F.col("id").alias("decl_id"), F.explode("r.directives").alias("t"), "file_id").select("decl_id", "t.*", "file_id"),
         "call_sites": sites.select(F.xxhash64("file_id", F.lit("site"), F.col("r.ordinal")).alias("id"), "file_id", owner, "r.name", "r.receiver", "r.kind", "r.line"),
         "bindings": bound.select("file_id", owner, "r.name", "r.type", "r.line"),
         "conformances": decls.select("file_id", F.col("r.name").alias("type_name"), F.explode("r.inherits").alias("protocol_name")),
@@ -120,13 +124,17 @@ class Index:
         pointer = self.home / "current.json"
         return json.loads(pointer.read_text()) if pointer.exists() else None
 
-    def table(self, name: str) -> DataFrame:
+    def _current(self) -> dict:
         meta = self._meta()
         if meta is None:
             raise StaleIndexError("there is no index yet")
         if meta["schema_version"] != schema.SCHEMA_VERSION:
             raise SchemaStaleError(f"schema {meta['schema_version']}, this is {schema.SCHEMA_VERSION}")
-        return self.spark.read.schema(schema.TABLES[name]).parquet(str(self.home / meta["snapshot"] / name))
+        return meta
+
+    def table(self, name: str) -> DataFrame:
+        """A table as the snapshot of this moment has it."""
+        return snapshots.read(self.spark, self.home, self._current(), name).select(*schema.columns(name))
 
     def check(self) -> DataFrame:
         """path and state of every file, on disk and in the index."""
@@ -157,33 +165,27 @@ class Index:
         changed = disk.join(again, "path", "left_semi")
         parsed = extract(changed, sites).persist()
         new = tables_of(changed.drop("content"), parsed)
-        kept = states.where("state = 'fresh'").join(again, "path", "left_anti").select(F.xxhash64("path").alias("file_id"))
-        name = f"snapshot-{uuid.uuid4().hex}"
-        for table, columns in schema.TABLES.items():
-            target = str(self.home / name / table)
-            if table == "narrative":
-                text.select(F.when(F.col("kind") == "sidecar", F.xxhash64(F.regexp_replace("path", r"\.md$", ".swift"))).alias("file_id"), "kind", "path", "text").write.parquet(target)
-                continue
-            fresh = new[table]
-            if usable and not (table in ("call_sites", "bindings", "conformances") and not sites):
-                before = self.table(table)
-                if table == "files":
-                    before = before.join(kept, before.id == kept.file_id, "left_semi")
-                elif table in ("doc_comments", "directives"):
-                    held = self.table("declarations").join(kept, "file_id", "left_semi").select(F.col("id").alias("decl_id"))
-                    before = before.join(held, "decl_id", "left_semi")
-                else:
-                    before = before.join(kept, "file_id", "left_semi")
-                fresh = fresh.unionByName(before.select(*fresh.columns))
-            names = [c.split()[0] for c in re.split(r", (?=\w+ )", columns)]
-            fresh.select(*names).write.parquet(target)
+        gone = states.where(F.col("state").isin("modified", "missing")).select(F.xxhash64("path").alias("file_id"))
+        whole = full or not usable or snapshots.due(meta, counters)
+        written = snapshots.write(self.spark, self.home, None if not usable or full else meta, new, gone, whole, sites)
+        if usable and meta["narrative"] == told["narrative"]:
+            written["narrative_in"] = meta["narrative_in"]
+        else:
+            about = F.when(F.col("kind") == "sidecar", F.xxhash64(F.regexp_replace("path", r"\.md$", ".swift"))).alias("file_id")
+            text.select(about, "kind", "path", "text").write.parquet(str(self.home / written["snapshot"] / "narrative"))
+            written["narrative_in"] = written["snapshot"]
         parsed.unpersist(), states.unpersist()
-        pointer = self.home / "current.json"
         draft = self.home / f"current-{uuid.uuid4().hex}.json"
-        draft.write_text(json.dumps({**told, "snapshot": name}))
-        draft.replace(pointer)
+        draft.write_text(json.dumps({**told, **written}))
+        draft.replace(self.home / "current.json")
         return counters
 
+    def vacuum(self) -> list[str]:
+        """Delete parts that the current snapshot does not read. Readers that still hold an earlier one lose it."""
+        with (self.home / "writer.lock").open("a") as lock:
+            _locked(lock, BUSY_SECONDS)
+            return snapshots.vacuum(self.home, self._current())
+
     def require_fresh(self, paths: list[str]) -> None:
         """Refuse to slice files that changed or are not indexed."""
         wanted = self.spark.createDataFrame([(p,) for p in paths], "path string")
@@ -296,31 +298,57 @@ class Index:
     def edges(self, include_refs: bool = False) -> tuple[DataFrame, DataFrame]:
         """(callers' edges, callees' edges), with dispatch through protocols: tables of the snapshot, made when they are first
         asked for, each in order of the side that a walk starts from, so that a walk reads little of it."""
-        meta = self._meta()
+        return self._edges_of("callers", include_refs), self._edges_of("callees", include_refs)
+
+    def _edges_of(self, side: str, include_refs: bool, least: int = graph.LOW) -> DataFrame:
+        """One table of edges; of callers also those of medium and more alone, with the number of the others as `more`. Whoever
+        makes one holds the writer's lock, and nobody sees it before it is whole."""
+        meta = self._current()
         if graph.sites_disabled(meta.get("call_sites"), self.table("call_sites")):
             raise RuntimeError("call sites are not indexed")
-        found = []
-        for side, by in (("callers", "target"), ("callees", "origin")):
-            path = self.home / meta["snapshot"] / f"edges-{side}{'-refs' if include_refs else ''}"
-            if not (path / "_SUCCESS").exists():
-                made = self._edges(include_refs)[side == "callees"]
-                made.repartitionByRange(by).sortWithinPartitions(by).write.mode("overwrite").parquet(str(path))
-            found.append(self.spark.read.parquet(str(path)))
-        return found[0], found[1]
+        path = self._edge_path(meta, side, include_refs, least)
+        if not (path / "_SUCCESS").exists():
+            with (self.home / "writer.lock").open("a") as lock:
+                _locked(lock, EDGE_SECONDS)
+                if not (path / "_SUCCESS").exists():
+                    made = self._sure_callers(include_refs) if least else self._edges(include_refs)[side == "callees"]
+                    by = "origin" if side == "callees" else "target"
+                    draft = path.with_name(f"draft-{uuid.uuid4().hex}")
+                    made.repartitionByRange(by).sortWithinPartitions(by).write.parquet(str(draft))
+                    draft.rename(path)
+        return self.spark.read.parquet(str(path))
+
+    def _edge_path(self, meta: dict, side: str, include_refs: bool, least: int) -> Path:
+        return self.home / meta["snapshot"] / f"edges-{side}{'-refs' if include_refs else ''}{'-sure' if least else ''}"
+
+    def _too_many(self, include_refs: bool) -> bool:
+        """Whether low edges of callers are left until they are asked for: they are not made yet, and sites times declarations,
+        added up over names, are many."""
+        if (self._edge_path(self._current(), "callers", include_refs, graph.LOW) / "_SUCCESS").exists():
+            return False
+        sites = self.table("call_sites").groupBy("name").agg(F.count("*").alias("s"))
+        named = self.table("declarations").groupBy("name").agg(F.count("*").alias("d"))
+        return (sites.join(named, "name").agg(F.sum(F.col("s") * F.col("d"))).first()[0] or 0) > MOST_PAIRS
+
+    def _sure_callers(self, include_refs: bool) -> DataFrame:
+        decls, conf, sites = self.table("declarations"), self.table("conformances"), self.table("call_sites")
+        sure = graph.callers(sites, decls, self.table("bindings"), conf, include_refs, least=graph.MEDIUM)
+        return graph.unseen(graph.with_dispatch_in(sure, decls, conf), sites if include_refs else sites.where("kind = 'call'"), decls)
 
     def _edges(self, include_refs: bool) -> tuple[DataFrame, DataFrame]:
         decls, conf = self.table("declarations"), self.table("conformances")
-        rows = graph.candidates(self.table("call_sites"), decls, self.table("bindings"), conf, include_refs)
-        pairs = graph.implementations(decls, conf)
-        return graph.with_dispatch_in(graph.edges_in(rows), decls, conf), graph.with_dispatch_out(graph.edges_out(rows), decls, pairs)
+        found = (self.table("call_sites"), decls, self.table("bindings"), conf, include_refs)
+        rows, pairs = graph.candidates(*found), graph.implementations(decls, conf)
+        return graph.with_dispatch_in(graph.callers(*found), decls, conf), graph.with_dispatch_out(graph.edges_out(rows), decls, pairs)
 
     def calls(self, query: str, callees: bool = False, depth: int = 2, least: str = "medium", limit: int | None = 25, include_refs: bool = False, tests_only: bool = False) -> DataFrame:
         """The call tree of the declaration that query means: callers, or callees."""
         decls = self.declarations()
         root = resolve.for_calls(decls, query).orderBy("file_path", "ordinal").limit(1).select(F.col("id").alias("node"))
-        into, out = self.edges(include_refs)
         src, dst = ("origin", "target") if callees else ("target", "origin")
-        edges = (out if callees else into).withColumn(src, F.coalesce(src, F.lit(0))).withColumn(dst, F.coalesce(dst, F.lit(0)))
+        sure = not callees and least != "low" and self._too_many(include_refs)
+        edges = self._edges_of("callees" if callees else "callers", include_refs, graph.MEDIUM if sure else graph.LOW)
+        edges = edges.withColumn(src, F.coalesce(src, F.lit(0))).withColumn(dst, F.coalesce(dst, F.lit(0)))
         tree = graph.traverse(root, edges, depth, schema.CONFIDENCE.index(least), limit, src, dst)
         named = tree.join(decls.select(F.col("id").alias("node"), "decl_id", F.col("file_path").alias("path_name"), scope.is_test(F.col("file_path"), F.col("container")).alias("is_test")), "node", "left")
         return graph.towards(named, F.col("is_test")) if tests_only else named

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = 5
+SCHEMA_VERSION = 6
 
 # Fixed values of the data model: kinds, access levels from the most open, confidences from the least.
 KINDS = ("struct", "class", "enum", "protocol", "actor", "extension", "func", "init", "deinit", "subscript", "var", "let", "case", "typealias", "associatedtype", "operator", "precedencegroup")
@@ -31,6 +33,12 @@ TABLES = {
     "conformances": "file_id long, type_name string, protocol_name string",
     "narrative": "file_id long, kind string, path string, text string",
 }
+#: Tables that hold nothing while call sites are off.
+SITE_TABLES = ("call_sites", "bindings", "conformances")
+
+
+def columns(table: str) -> list[str]:
+    return [c.split()[0] for c in re.split(r", (?=\w+ )", TABLES[table])]
 
 
 def rank(value: Column, order: tuple[str, ...]) -> Column:
