@@ -222,10 +222,11 @@ def JN07_exists_in_or(spark, d):
     return _t(spark, d, "customer").join(rich, F.col("c_custkey") == F.col("b"), "left").where("c_mktsegment = 'BUILDING' or b is not null").select("c_custkey")
 
 
-@_query(f"WITH c(t, p) AS {_CONFORM} SELECT DISTINCT x.t AS type_name FROM c x WHERE EXISTS (SELECT 1 FROM c y WHERE y.t = x.p AND y.p = 'n7') OR x.p = 'n7'")
+@_query("WITH c AS (SELECT 'c' || c_custkey AS t, 'n' || c_nationkey AS p FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation) SELECT DISTINCT x.t AS type_name FROM c x WHERE x.p = 'r1' OR EXISTS (SELECT 1 FROM c y WHERE y.t = x.p AND y.p = 'r1')")
 def JN08_two_hops(spark, d):
-    conform = spark.createDataFrame([("BUILDING", "n7"), ("MACHINERY", "BUILDING"), ("FURNITURE", "AUTOMOBILE"), ("HOUSEHOLD", "FURNITURE")], "type_name string, protocol_name string")
-    return graph.conforming(conform).where("parent = 'n7'").select("type_name").distinct()
+    c = _t(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("type_name"), F.concat(F.lit("n"), "c_nationkey").alias("protocol_name"))
+    n = _t(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("type_name"), F.concat(F.lit("r"), "n_regionkey").alias("protocol_name"))
+    return graph.conforming(c.unionByName(n)).where("parent = 'r1'").select("type_name").distinct()
 
 
 @_query(f"WITH d AS ({_DECLS}), s AS ({_SITES}) SELECT s.id AS site, d.id AS target FROM s JOIN d ON s.name = d.name WHERE s.kind = 'call'")
@@ -417,15 +418,14 @@ def TK08_line_range(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.array_join(tx.line_range(lines, "2-4"), "|").alias("middle"), F.array_join(tx.line_range(lines, "-2"), "|").alias("tail"))
 
 
-@_query("SELECT range_, out FROM (VALUES ('1-2', 'a|b'), ('-1', 'd'), ('3-99', 'c|d'), ('0-1', 'a'), ('x', 'a|b|c|d'), ('3-2', 'a|b|c|d'), ('-9', 'a|b|c|d')) AS v(range_, out)")
+_RANGE_CASES = " UNION ALL ".join(f"SELECT doc_id, '{r}' AS range_, array_to_string({e}, '|') AS out FROM l" for r, e in [("1-2", "CASE WHEN len(l) >= 1 THEN l[1:2] ELSE l END"), ("-1", "l[greatest(1, len(l)):len(l)]"), ("3-99", "CASE WHEN len(l) >= 3 THEN l[3:99] ELSE l END"), ("0-1", "l[1:1]"), ("x", "l"), ("3-2", "l"), ("-9", "l[greatest(1, len(l) - 8):len(l)]")])
+
+
+@_query(f"WITH l AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n') AS l FROM documents) {_RANGE_CASES}")
 def SC14_read_range(spark, d):
-    ranges = ["1-2", "-1", "3-99", "0-1", "x", "3-2", "-9"]
-    whole = F.split(F.lit("a b c d"), " ")
-    rows = [spark.range(1).select(F.lit(r).alias("range_"), F.array_join(tx.line_range(whole, r), "|").alias("out")) for r in ranges]
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.unionByName(more)
-    return out
+    whole = _t(spark, d, "documents").select("doc_id", tx.lines(F.coalesce("text", F.lit(""))).alias("l"))
+    ranges = F.explode(F.array(*(F.struct(F.lit(r).alias("range_"), F.array_join(tx.line_range(F.col("l"), r), "|").alias("out")) for r in ("1-2", "-1", "3-99", "0-1", "x", "3-2", "-9"))))
+    return whole.select("doc_id", ranges.alias("r")).select("doc_id", "r.*")
 
 
 # --- scalar functions
@@ -539,9 +539,9 @@ def SF19_redacted(spark, d):
     return _t(spark, d, "events").select("event_id", F.when(kept[0] == "query", F.array_join(kept, " ")).otherwise(F.when(kept == _argv(), "other")).alias("argv"))
 
 
-@_query("SELECT word, ok FROM (VALUES ('run', true), ('_x1', true), ('1x', false), ('a-b', false), ('', false), ('é', true)) AS v(word, ok)")
+@_query("SELECT word, regexp_full_match(word, '[\\p{L}_][\\p{L}\\p{N}_]*') AS ok FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents WHERE text IS NOT NULL)")
 def SF20_identifiers(spark, d):
-    words = spark.createDataFrame([(w,) for w in ("run", "_x1", "1x", "a-b", "", "é")], "word string")
+    words = _t(spark, d, "documents").where("text is not null").select(F.explode(F.split("text", " ")).alias("word")).distinct()
     return words.select("word", tx.is_identifier(F.col("word")).alias("ok"))
 
 
