@@ -5,6 +5,7 @@ from __future__ import annotations
 import fcntl
 import json
 import re
+import shutil
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -306,38 +307,59 @@ class Index:
         meta = self._current()
         if graph.sites_disabled(meta.get("call_sites"), self.table("call_sites")):
             raise RuntimeError("call sites are not indexed")
-        path = self._edge_path(meta, side, include_refs, least)
-        if not (path / "_SUCCESS").exists():
+        folder = self._edge_folder(side, include_refs, least)
+        if not (self.home / meta["snapshot"] / folder).exists():
             with (self.home / "writer.lock").open("a") as lock:
                 _locked(lock, EDGE_SECONDS)
-                if not (path / "_SUCCESS").exists():
-                    made = self._sure_callers(include_refs) if least else self._edges(include_refs)[side == "callees"]
-                    by = "origin" if side == "callees" else "target"
-                    draft = path.with_name(f"draft-{uuid.uuid4().hex}")
-                    made.repartitionByRange(by).sortWithinPartitions(by).write.parquet(str(draft))
-                    draft.rename(path)
-        return self.spark.read.parquet(str(path))
-
-    def _edge_path(self, meta: dict, side: str, include_refs: bool, least: int) -> Path:
-        return self.home / meta["snapshot"] / f"edges-{side}{'-refs' if include_refs else ''}{'-sure' if least else ''}"
+                if not (self.home / meta["snapshot"] / folder).exists():
+                    self._make_edges(meta, folder, side, include_refs, least)
+        return snapshots.read_edges(self.spark, self.home, meta["snapshot"], folder)
+
+    def _make_edges(self, meta: dict, folder: str, side: str, include_refs: bool, least: int) -> None:
+        """Write edges of a snapshot: all of them, or, where an earlier snapshot of the same parts has its own, those of names
+        that later parts touched."""
+        draft = self.home / meta["snapshot"] / f"draft-{uuid.uuid4().hex}"
+        tables = {t: snapshots.read(self.spark, self.home, meta, t) for t in graph.INPUTS}
+        base = snapshots.edge_base(self.home, meta, folder)
+        told = {"base": None, "gone": 0}
+        if base is not None:
+            before = {t: snapshots.read(self.spark, self.home, base, t) for t in graph.INPUTS}
+            changed = snapshots.changed_since(self.spark, self.home, base, meta)
+            graph.touched_names(before, tables, changed).write.parquet(str(draft / "names"))
+            names = self.spark.read.schema("name string").parquet(str(draft / "names"))
+            before["declarations"].join(names, "name", "left_semi").select("id").write.parquet(str(draft / "gone"))
+            told = {"base": base["snapshot"], "gone": self.spark.read.schema("id long").parquet(str(draft / "gone")).count()}
+            for t, rows in graph.around(names, tables).items():  # read many times below; it grows with what changed
+                if t != "conformances":
+                    rows.write.parquet(str(draft / "around" / t))
+                    tables[t] = self.spark.read.schema(rows.schema).parquet(str(draft / "around" / t))
+        made = self._sure_callers(tables, include_refs) if least else self._edges(tables, include_refs)[side == "callees"]
+        by = "origin" if side == "callees" else "target"
+        made.repartitionByRange(by).sortWithinPartitions(by).write.parquet(str(draft / "rows"))
+        shutil.rmtree(draft / "around", ignore_errors=True)
+        (draft / "made.json").write_text(json.dumps(told))
+        draft.rename(self.home / meta["snapshot"] / folder)
+
+    def _edge_folder(self, side: str, include_refs: bool, least: int) -> str:
+        return f"edges-{side}{'-refs' if include_refs else ''}{'-sure' if least else ''}"
 
     def _too_many(self, include_refs: bool) -> bool:
         """Whether low edges of callers are left until they are asked for: they are not made yet, and sites times declarations,
         added up over names, are many."""
-        if (self._edge_path(self._current(), "callers", include_refs, graph.LOW) / "_SUCCESS").exists():
+        if (self.home / self._current()["snapshot"] / self._edge_folder("callers", include_refs, graph.LOW)).exists():
             return False
         sites = self.table("call_sites").groupBy("name").agg(F.count("*").alias("s"))
         named = self.table("declarations").groupBy("name").agg(F.count("*").alias("d"))
         return (sites.join(named, "name").agg(F.sum(F.col("s") * F.col("d"))).first()[0] or 0) > MOST_PAIRS
 
-    def _sure_callers(self, include_refs: bool) -> DataFrame:
-        decls, conf, sites = self.table("declarations"), self.table("conformances"), self.table("call_sites")
-        sure = graph.callers(sites, decls, self.table("bindings"), conf, include_refs, least=graph.MEDIUM)
+    def _sure_callers(self, tables: dict[str, DataFrame], include_refs: bool) -> DataFrame:
+        decls, conf, sites = tables["declarations"], tables["conformances"], tables["call_sites"]
+        sure = graph.callers(sites, decls, tables["bindings"], conf, include_refs, least=graph.MEDIUM)
         return graph.unseen(graph.with_dispatch_in(sure, decls, conf), sites if include_refs else sites.where("kind = 'call'"), decls)
 
-    def _edges(self, include_refs: bool) -> tuple[DataFrame, DataFrame]:
-        decls, conf = self.table("declarations"), self.table("conformances")
-        found = (self.table("call_sites"), decls, self.table("bindings"), conf, include_refs)
+    def _edges(self, tables: dict[str, DataFrame], include_refs: bool) -> tuple[DataFrame, DataFrame]:
+        decls, conf = tables["declarations"], tables["conformances"]
+        found = (tables["call_sites"], decls, tables["bindings"], conf, include_refs)
         rows, pairs = graph.candidates(*found), graph.implementations(decls, conf)
         return graph.with_dispatch_in(graph.callers(*found), decls, conf), graph.with_dispatch_out(graph.edges_out(rows), decls, pairs)
 

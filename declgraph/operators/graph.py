@@ -7,10 +7,15 @@ protocol_name). Joins are on names and ids; names that no declaration has are dr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LOW, MEDIUM, HIGH = 0, 1, 2
+#: The tables that edges come from.
+INPUTS = ("declarations", "call_sites", "bindings", "conformances")
 _IDENTIFIER = r"^[\p{L}\p{N}_]+$"
 _PROPERTY_TYPE = r":\s*([\p{L}_][\p{L}\p{N}_]*)"
 
@@ -171,6 +176,50 @@ def unseen(edges: DataFrame, sites: DataFrame, decls: DataFrame) -> DataFrame:
     return edges.join(counted.select("target", more.alias("more")), "target")
 
 
+def touched_names(old: dict[str, DataFrame], new: dict[str, DataFrame], changed: DataFrame) -> DataFrame:
+    """name of every declaration whose edges may differ between two states of the tables, which differ in some files alone
+    (changed: file_id).
+
+    Every edge, dispatched ones too, comes from sites of its target's name and is graded among declarations of that name. So a
+    name's edges stay unless the files have a declaration or a site of it, a property that a receiver of its sites may mean, a
+    conformance that came or went for a container of its declarations (or for what that conforms to), or a protocol that came
+    or went and types a receiver of its sites or holds one of its declarations."""
+    held = lambda tables, t: tables[t].join(changed, "file_id", "left_semi")
+    either = lambda t, *columns: held(old, t).select(*columns).unionByName(held(new, t).select(*columns)).distinct()
+    one = lambda df, column, name: df.select(F.col(column).alias(name))
+
+    def moved(rows: DataFrame, of: Callable[[dict[str, DataFrame]], DataFrame]) -> DataFrame:
+        """Those of rows that one state has and the other has not."""
+        count = lambda tables, n: of(tables).join(rows, rows.columns, "left_semi").select(*rows.columns, F.lit(n).alias("n"))
+        return count(old, 1).unionByName(count(new, 2)).groupBy(*rows.columns).agg(F.count_distinct("n").alias("states")).where("states = 1").drop("states")
+
+    told = either("declarations", "name", "kind", "container")
+    pairs = moved(either("conformances", "type_name", "protocol_name"), lambda t: t["conformances"])
+    turned = moved(told.where("kind = 'protocol'").select("name").distinct(), lambda t: protocols(t["declarations"]))
+    types = one(pairs, "type_name", "container").distinct()
+    steps = old["conformances"].select("type_name", "protocol_name").unionByName(new["conformances"].select("type_name", "protocol_name"))
+    below = one(steps.join(one(types, "container", "protocol_name"), "protocol_name", "left_semi"), "type_name", "container")
+    containers = types.unionByName(below).unionByName(one(turned, "name", "container")).distinct()
+    property_ = F.col("kind").isin("var", "let")
+    typed = new["declarations"].where(property_).select("name", F.regexp_extract("signature", _PROPERTY_TYPE, 1).alias("type")).unionByName(new["bindings"].select("name", "type"))
+    receivers = one(told.where(property_), "name", "receiver").unionByName(one(typed.join(one(turned, "name", "type"), "type", "left_semi"), "name", "receiver")).distinct()
+    parts = [told, either("call_sites", "name"), new["declarations"].join(containers, "container", "left_semi"), new["call_sites"].join(receivers, "receiver", "left_semi")]
+    return reduce(DataFrame.unionByName, (x.select("name") for x in parts)).distinct()
+
+
+def around(names: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """As much of the tables as edges to declarations of some names (name) come from: their sites and declarations, who calls,
+    what a receiver may mean, and all protocols and conformances."""
+    decls, sites = tables["declarations"], tables["call_sites"].join(names, "name", "left_semi")
+    meant = sites.select(F.col("receiver").alias("name")).where("name is not null").distinct()
+    calling = sites.select(F.col("from_decl").alias("id")).where("id is not null").distinct()
+    parts = [decls.join(names, "name", "left_semi"), decls.where("kind in ('var', 'let')").join(meant, "name", "left_semi"), decls.join(calling, "id", "left_semi"), decls.where("kind = 'protocol'")]
+    columns = ["id", "name", "kind", "container", "signature", "file_id"]
+    kept = reduce(DataFrame.unionByName, (x.select(*columns) for x in parts)).dropDuplicates(["id"])
+    bound = tables["bindings"].join(calling.withColumnRenamed("id", "from_decl"), "from_decl", "left_semi")
+    return {"declarations": kept, "call_sites": sites, "bindings": bound, "conformances": tables["conformances"]}
+
+
 def only_named(rows: DataFrame) -> DataFrame:
     """Of sites whose receiver names the container of candidates, these only."""
     named = F.coalesce(F.col("container") == F.col("receiver"), F.lit(False))

@@ -7,6 +7,7 @@ Parts never change once they are named, so readers keep theirs. When parts or go
 
 from __future__ import annotations
 
+import json
 import shutil
 import uuid
 from pathlib import Path
@@ -55,6 +56,35 @@ def read(spark: SparkSession, home: Path, meta: dict, table: str) -> DataFrame:
     return rows.drop("_part").unionByName(last)
 
 
+def edge_base(home: Path, meta: dict, folder: str) -> dict | None:
+    """What the newest earlier snapshot was that has edges and whose parts (of call sites too) are the first ones of meta."""
+    for k in range(len(meta["parts"]) - 2, meta["sites_since"] - 1, -1):
+        if (home / meta["parts"][k]["name"] / folder).exists():
+            return {**meta, "snapshot": meta["parts"][k]["name"], "parts": meta["parts"][: k + 1]}
+    return None
+
+
+def changed_since(spark: SparkSession, home: Path, base: dict, meta: dict) -> DataFrame:
+    """file_id of files that parts of meta after those of base have rows of or call gone."""
+    found = None
+    for part in meta["parts"][len(base["parts"]) :]:
+        new = spark.read.schema(_stored("files")).parquet(str(home / part["name"] / "files")).select(F.col("id").alias("file_id"))
+        both = new.unionByName(spark.read.schema("file_id long").parquet(str(home / part["name"] / "gone")))
+        found = both if found is None else found.unionByName(both)
+    return found.distinct()
+
+
+def read_edges(spark: SparkSession, home: Path, snapshot: str, folder: str) -> DataFrame:
+    """Edges of a snapshot: its own, and those of the one it builds upon but for targets whose edges were made anew."""
+    place = home / snapshot / folder
+    told, rows = json.loads((place / "made.json").read_text()), spark.read.parquet(str(place / "rows"))
+    if told["base"] is None:
+        return rows
+    gone = spark.read.schema("id long").parquet(str(place / "gone")).withColumnRenamed("id", "target")
+    earlier = read_edges(spark, home, told["base"], folder)
+    return earlier.join(F.broadcast(gone) if told["gone"] <= MOST_BROADCAST else gone, "target", "left_anti").unionByName(rows)
+
+
 def due(meta: dict, counters: dict[str, int]) -> bool:
     """Whether the next part should be a whole one."""
     files = sum(counters[k] for k in ("added", "updated", "skipped"))
