@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from . import schema, snapshots, sqltext
 from .edits import fold
-from .operators import diff, graph, members, ranks, resolve, scope
+from .operators import diff, graph, members, pieces, ranks, resolve, scope
 from .plans import records, reports, usage, volatility
 from .sources import audit, git
 from .sources.files import Project, narrative, scan
@@ -223,6 +223,28 @@ class Index:
         d = d.orderBy("file_path", "start_line", "ordinal").offset(offset).limit(limit)
         return scope.project(d, fields)
 
+    def find(self, text: str) -> DataFrame:
+        """Declarations whose id or name holds a text, in any case, as `get` finds them by text, from an index of the parts'
+        names. A part's is made when it is first asked for; what a later part took away is left out when rows are met again."""
+        meta, found = self._current(), None
+        for part in meta["parts"]:
+            place = self.home / part["name"] / "pieces"
+            if not place.exists():
+                with (self.home / "writer.lock").open("a") as lock:
+                    _locked(lock, EDGE_SECONDS)
+                    if not place.exists():
+                        self._index_names(part["name"])
+            one = pieces.search(self.spark, str(place), text, "term string, id long").select("id")
+            found = one if found is None else found.unionByName(one)
+        checked = scope.id_or_name_like(F.col("decl_id"), F.col("name"), text)
+        return self.declarations().join(found.distinct(), "id", "left_semi").where(checked).orderBy("file_path", "start_line", "ordinal")
+
+    def _index_names(self, part: str) -> None:
+        decls = self.spark.read.schema("id long, decl_id string, name string").parquet(str(self.home / part / "declarations"))
+        draft = self.home / part / f"draft-{uuid.uuid4().hex}"
+        pieces.write(decls.select(F.explode(F.array_distinct(F.array("decl_id", "name"))).alias("term"), "id"), str(draft))
+        draft.rename(self.home / part / "pieces")
+
     def resolve(self, query: str, path: str | None = None, ladder: Callable[[DataFrame, str], DataFrame] = resolve.lookup) -> DataFrame:
         """What a query means, by one of the ladders of `resolve`."""
         d = self.declarations()
