@@ -5,7 +5,9 @@ All of it is column expressions over array<string>, so a log of any size is pars
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The commands, their subcommands, and the options that take the argument after them.
@@ -33,7 +35,11 @@ COMMAND_VALUES = {
 }
 
 _TOLD = "array<struct<name:string,value:string>>"
-_STATE = f"struct<pending:string,positionals:array<string>,told:{_TOLD},flags:array<string>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def normalised(argv: Column) -> Column:
@@ -49,36 +55,44 @@ def command_of(argv: Column) -> Column:
     return F.when(both.isin(*names) & second.isNotNull(), both).when(first.isin(*names), first)
 
 
+def _classes(rest: Column, taking: Column) -> Column:
+    """One letter for each argument: an option that takes the next one (o), what it takes (v), a positional (p), an option with
+    its value (e), a flag (f)."""
+    letter = lambda acc, t: F.when(acc.endswith("o"), "v").when(~t.startswith("-") | (t == "-"), "p").when(F.locate("=", t) > 0, "e").when(F.array_contains(taking, t), "o").otherwise("f")
+    return F.aggregate(rest, F.lit(""), lambda acc, t: F.concat(acc, letter(acc, t)))
+
+
 def parsed(argv: Column) -> Column:
     """command, positionals, told (name and value of options, in order) and flags; null for what is no command.
 
     The command tree tells which options take the argument after them. An option it does not have, or one at the end without
-    its argument, is a flag; - alone is a positional."""
-    command = command_of(argv)
+    its argument, is a flag; - alone is a positional. One pass over the arguments tells what each is; lists are made from that."""
     pairs = [x for c, options in COMMAND_VALUES.items() for x in (F.lit(c), F.array(*(F.lit(o) for o in (*options, *GLOBAL_VALUES))))]
-    taking = F.try_element_at(F.create_map(*pairs), command)
-    words = F.size(F.split(command, " "))
-    none = F.array().cast("array<string>")
-    begin = F.struct(F.lit(None).cast("string").alias("pending"), none.alias("positionals"), F.array().cast(_TOLD).alias("told"), none.alias("flags")).cast(_STATE)
-
-    def step(acc: Column, t: Column) -> Column:
-        def state(pending: Column = F.lit(None), positionals: Column | None = None, told: Column | None = None, flags: Column | None = None) -> Column:
-            kept = [acc[n] if x is None else F.concat(acc[n], F.array(x)) for n, x in (("positionals", positionals), ("told", told), ("flags", flags))]
-            return F.struct(pending.cast("string").alias("pending"), kept[0].alias("positionals"), kept[1].alias("told"), kept[2].alias("flags")).cast(_STATE)
-
-        pair = lambda name, value: F.struct(name.alias("name"), value.alias("value"))
-        split = F.locate("=", t)
-        return (
-            F.when(acc["pending"].isNotNull(), state(told=pair(acc["pending"], t)))
-            .when(~t.startswith("-") | (t == "-"), state(positionals=t))
-            .when(split > 0, state(told=pair(F.substring_index(t, "=", 1), F.substring(t, split + 1, F.length(t)))))
-            .when(F.array_contains(taking, t), state(pending=t))
-            .otherwise(state(flags=t))
-        )
-
-    rest = F.slice(argv, words + 1, F.greatest(F.size(argv) - words, F.lit(0)))
-    done = lambda acc: F.struct(command.alias("command"), acc["positionals"].alias("positionals"), acc["told"].alias("told"), F.when(acc["pending"].isNull(), acc["flags"]).otherwise(F.concat(acc["flags"], F.array(acc["pending"]))).alias("flags"))
-    return F.when(command.isNotNull(), F.aggregate(rest, begin, step, done))
+    taking = lambda command: F.try_element_at(F.create_map(*pairs), command)
+
+    def lists(s: Column) -> Column:
+        rest, size = s["rest"], F.size(s["rest"])
+        of = lambda i: F.substring(s["classes"], i + 1, F.lit(1))
+        pair = lambda name, held: F.struct(name.alias("name"), held.alias("value"))
+        told = lambda t, i: F.when(of(i) == "e", pair(F.substring_index(t, "=", 1), F.substring(t, F.locate("=", t) + 1, F.length(t)))).when((of(i) == "o") & (i + 1 < size), pair(t, F.try_element_at(rest, i + 2)))
+        positionals = F.filter(rest, lambda t, i: of(i) == "p")
+        flags = F.filter(rest, lambda t, i: (of(i) == "f") | ((of(i) == "o") & (i + 1 == size)))
+        return F.struct(s["command"].alias("command"), positionals.alias("positionals"), F.array_compact(F.transform(rest, told)).cast(_TOLD).alias("told"), flags.alias("flags"))
+
+    def split(s: Column) -> Column:
+        return _let(F.struct(s["command"].alias("command"), s["rest"].alias("rest"), _classes(s["rest"], s["taking"]).alias("classes")), lists)
+
+    def known(s: Column) -> Column:
+        words = F.size(F.split(s["command"], " "))
+        rest = F.slice(s["argv"], words + 1, F.greatest(F.size(s["argv"]) - words, F.lit(0)))
+        return F.when(s["command"].isNotNull(), _let(F.struct(s["command"].alias("command"), rest.alias("rest"), taking(s["command"]).alias("taking")), split))
+
+    return _let(argv, lambda a: _let(F.struct(a.alias("argv"), command_of(a).alias("command")), known))
+
+
+def with_call(df: DataFrame, argv: Column, name: str = "call") -> DataFrame:
+    """Rows whose arguments are a command, with what they parse to; a generator, so that columns made of it do not parse anew."""
+    return df.select("*", F.explode(F.array(parsed(argv))).alias(name)).where(F.col(name).isNotNull())
 
 
 def value(call: Column, option: str) -> Column:

@@ -521,15 +521,14 @@ def SF16_normalised(spark, d):
 CASE event_id % 7 WHEN 3 THEN 'SELECT 1' WHEN 5 THEN '' ELSE 'T' || user_id END AS positionals, CASE event_id % 7 WHEN 0 THEN '-L=2' WHEN 1 THEN '--fields=signature,body' WHEN 2 THEN '--project=/p q' WHEN 3 THEN '--recipe=mass' WHEN 4 THEN '--project=/p;--expand=run' WHEN 5 THEN '--last=20' END AS told,
 CASE event_id % 7 WHEN 0 THEN '--body' WHEN 3 THEN '--json' WHEN 4 THEN '--doc' WHEN 5 THEN '--argv' ELSE '' END AS flags FROM events WHERE event_id % 7 < 6""")
 def SF17_parsed(spark, d):
-    call = _t(spark, d, "events").select("event_id", inv.parsed(inv.normalised(_argv())).alias("c")).where("c is not null")
+    call = inv.with_call(_t(spark, d, "events").select("event_id", inv.normalised(_argv()).alias("argv")), F.col("argv"), "c")
     told = F.array_join(F.transform("c.told", lambda p: F.concat(p["name"], F.lit("="), p["value"])), ";")
     return call.select("event_id", "c.command", F.array_join("c.positionals", ",").alias("positionals"), told.alias("told"), F.array_join("c.flags", ",").alias("flags"))
 
 
 @_query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'L2+body' WHEN 1 THEN 'body:ref' WHEN 2 THEN 'shell' WHEN 4 THEN 'L default+expand+doc' ELSE '-' END AS depth, CASE event_id % 7 WHEN 3 THEN '-' WHEN 5 THEN '-' WHEN 6 THEN '-' ELSE 'T' || user_id END AS target FROM events")
 def SF18_depth(spark, d):
-    call = inv.parsed(inv.normalised(_argv()))
-    e = _t(spark, d, "events").select("event_id", call.alias("c"))
+    e = _t(spark, d, "events").select("event_id", F.explode(F.array(inv.parsed(inv.normalised(_argv())))).alias("c"))  # once, not once for each column
     return e.select("event_id", F.coalesce(inv.depth_label(F.col("c")), F.lit("-")).alias("depth"), F.coalesce(inv.target(F.col("c")), F.lit("-")).alias("target"))
 
 

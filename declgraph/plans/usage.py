@@ -14,8 +14,7 @@ LIST_CAP, REPEAT_SECONDS = 10, 120
 
 def calls(events: DataFrame) -> DataFrame:
     """Events (seq, at, argv, status, ms) whose arguments are a command: with command, depth, target and ok."""
-    # exploded, so that the arguments are parsed once, not once for each column that is made of them
-    rows = events.where("argv is not null").select("*", F.explode(F.array(inv.parsed(inv.normalised(F.col("argv"))))).alias("call")).where("call is not null")
+    rows = inv.with_call(events.where("argv is not null"), inv.normalised(F.col("argv")))
     ok = F.coalesce(F.col("status") == "ok", F.lit(True))
     return rows.select("*", F.col("call.command").alias("command"), inv.depth_label(F.col("call")).alias("depth"), inv.target(F.col("call")).alias("target"), ok.alias("ok")).drop("call")
 
