@@ -450,12 +450,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import testdata_entries, testdata_more, testdata_search, testdata_source  # noqa: F401  they register their queries
+    from . import testdata_entries, testdata_history, testdata_more, testdata_search, testdata_source  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import testdata_entries, testdata_more, testdata_search, testdata_source  # noqa: F401
+    from . import testdata_entries, testdata_history, testdata_more, testdata_search, testdata_source  # noqa: F401
 
     return dict(_SQL)

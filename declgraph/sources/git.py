@@ -1,8 +1,10 @@
-"""Version-control history as frames: changed lines, hunks, logs. Text comes from git on the driver; rows from Spark."""
+"""Version-control history as frames: changed lines, hunks, logs. Git writes its text to files that Spark splits at records."""
 
 from __future__ import annotations
 
 import subprocess
+import time
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,43 +19,60 @@ def run(root: Path, *args: str) -> str:
     return subprocess.run(["git", "-C", str(root), *args], capture_output=True, text=True, check=True).stdout
 
 
-def _lines(spark: SparkSession, text: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(text.split("\n"))), "at long, line string")
+#: What a commit's record begins with in a log, and what parts the files of a diff: no line of a file's content can begin so.
+MARK, FILE_MARK = "\x1e", "\ndiff --git "
+_HEAD = "^commit\t([0-9a-f]+)\t(.*)\t([0-9]+)$"
+_FORMAT = "--format=%x1ecommit%x09%H%x09%an%x09%at"
+#: Texts of version control stay this long for frames that still read them.
+KEPT_SECONDS = 86_400
 
 
-def parse_numstat(lines: DataFrame, prefix: str = "") -> DataFrame:
-    """commit, author, at (seconds), path, insertions, deletions from a log whose commits are lines of
-    `commit TAB sha TAB author TAB seconds` before their numstat lines."""
-    from pyspark.sql import Window
+def records(spark: SparkSession, root: Path, mark: str, *args: str) -> DataFrame:
+    """value: what git tells, a row for each record. Its text goes to a file in the repository's own folder, not through the
+    driver's memory, and Spark splits that at the marks, so a record is whole wherever it is read."""
+    folder = Path(root, run(root, "rev-parse", "--git-path", "declgraph").strip())
+    folder.mkdir(parents=True, exist_ok=True)
+    for old in folder.glob("*.txt"):
+        if time.time() - old.stat().st_mtime > KEPT_SECONDS:
+            old.unlink(missing_ok=True)
+    path = folder / f"{uuid.uuid4().hex}.txt"
+    with path.open("wb") as out:
+        subprocess.run(["git", "-C", str(root), *args], stdout=out, check=True)
+    return spark.read.option("lineSep", mark).text(str(path.resolve()))
 
-    head = F.regexp_extract("line", "^commit\t([0-9a-f]+)\t(.*)\t([0-9]+)$", 1) != ""
-    w = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # one log; its order is its meaning
-    tagged = lines.withColumn("head", F.last(F.when(head, F.col("line")), True).over(w)).where(F.col("line").rlike("^([0-9]+|-)\t([0-9]+|-)\t.+$"))
-    part = lambda c, k: F.split(c, "\t")[k]
-    number = lambda k: F.coalesce(F.try_to_number(part("line", k), F.lit("999999999")).cast("long"), F.lit(0))
-    rows = tagged.select(part("head", 1).alias("commit"), part("head", 2).alias("author"), part("head", 3).cast("long").alias("at"), under_prefix(renamed_path(F.substring_index("line", "\t", -1)), prefix).alias("path"), number(0).alias("insertions"), number(1).alias("deletions"))
-    return rows.where("path is not null")
 
+def _of_commits(found: DataFrame) -> DataFrame:
+    """commit, author, at (seconds) and line, a row for each line under a record's head; records without such a head are none."""
+    lines = F.split("value", "\n")
+    head = lambda k: F.regexp_extract(lines[0], _HEAD, k)
+    rows = found.where(lines[0].rlike(_HEAD))
+    return rows.select(head(1).alias("commit"), head(2).alias("author"), head(3).cast("long").alias("at"), F.explode(F.slice(lines, 2, F.size(lines))).alias("line"))
 
-def log(spark: SparkSession, root: Path, days: int, prefix: str = "") -> DataFrame:
-    text = run(root, "log", "--no-merges", "-M", "--numstat", f"--since={days} days ago", "--format=commit%x09%H%x09%an%x09%at")
-    return parse_numstat(_lines(spark, text), prefix)
+
+def parse_numstat(found: DataFrame, prefix: str = "") -> DataFrame:
+    """commit, author, at (seconds), path, insertions, deletions from records whose first line is
+    `commit TAB sha TAB author TAB seconds`, before their numstat lines. A binary file's numbers are 0."""
+    tagged = _of_commits(found).where(F.col("line").rlike("^([0-9]+|-)\t([0-9]+|-)\t.+$"))
+    number = lambda k: F.coalesce(F.split("line", "\t")[k].try_cast("long"), F.lit(0))
+    path = under_prefix(renamed_path(F.substring_index("line", "\t", -1)), prefix)
+    return tagged.select("commit", "author", "at", path.alias("path"), number(0).alias("insertions"), number(1).alias("deletions")).where("path is not null")
 
 
-def parse_hunks(lines: DataFrame, prefix: str = "") -> DataFrame:
-    """path, low, high (lines of the new side) of a diff without context."""
-    from pyspark.sql import Window
+def log(spark: SparkSession, root: Path, days: int, prefix: str = "") -> DataFrame:
+    return parse_numstat(records(spark, root, MARK, "log", "--no-merges", "-M", "--numstat", f"--since={days} days ago", _FORMAT), prefix)
+
 
-    w = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    name = F.regexp_extract("line", r"^\+\+\+ b/(.*)$", 1)
-    rows = lines.withColumn("path", F.last(F.nullif(name, F.lit("")), True).over(w)).where(F.col("line").startswith("@@ "))
+def parse_hunks(found: DataFrame, prefix: str = "") -> DataFrame:
+    """path, low, high (lines of the new side) of a diff without context, a record for each file."""
+    name = F.regexp_extract("value", r"(?m)^\+\+\+ b/(.*)$", 1)  # the first such line; those of the content come after it
+    rows = found.select(F.nullif(name, F.lit("")).alias("path"), F.explode(F.split("value", "\n")).alias("line")).where(F.col("line").startswith("@@ "))
     start = F.regexp_extract("line", r"\+([0-9]+)", 1).cast("int")
     count = F.coalesce(F.nullif(F.regexp_extract("line", r"\+[0-9]+,([0-9]+)", 1), F.lit("")).cast("int"), F.lit(1))
     return rows.select(under_prefix(F.col("path"), prefix).alias("path"), start.alias("low"), (start + F.greatest(count, F.lit(1)) - 1).alias("high")).where("path is not null")
 
 
 def hunks(spark: SparkSession, root: Path, since: str = "HEAD", prefix: str = "") -> DataFrame:
-    return parse_hunks(_lines(spark, run(root, "diff", "-U0", "-M", since, "--", ".")), prefix)
+    return parse_hunks(records(spark, root, FILE_MARK, "diff", "-U0", "-M", since, "--", "."), prefix)
 
 
 def changed_files(root: Path, since: str = "HEAD") -> list[tuple[str, str]]:
@@ -79,18 +98,13 @@ def prefix(root: Path) -> str:
 
 def last_touched(spark: SparkSession, root: Path, prefix: str = "") -> DataFrame:
     """path and touched (seconds of the newest commit) over all history."""
-    text = run(root, "log", "--no-merges", "--name-only", "--format=commit%x09%H%x09%an%x09%at")
-    return history.last_touched(parse_names(_lines(spark, text), prefix)).withColumnRenamed("at", "touched")
-
+    found = records(spark, root, MARK, "log", "--no-merges", "--name-only", _FORMAT)
+    return history.last_touched(parse_names(found, prefix)).withColumnRenamed("at", "touched")
 
-def parse_names(lines: DataFrame, prefix: str = "") -> DataFrame:
-    """path and at (seconds) from a log whose commits are lines as in parse_numstat before their files' names."""
-    from pyspark.sql import Window
 
-    head = F.regexp_extract("line", "^commit\t([0-9a-f]+)\t(.*)\t([0-9]+)$", 3)
-    w = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # one log; its order is its meaning
-    rows = lines.withColumn("time", F.last(F.nullif(head, F.lit("")), True).over(w)).where((head == "") & (F.col("line") != ""))
-    return rows.select(under_prefix(F.col("line"), prefix).alias("path"), F.col("time").cast("long").alias("at")).where("path is not null")
+def parse_names(found: DataFrame, prefix: str = "") -> DataFrame:
+    """path and at (seconds) from records as in parse_numstat, with files' names under their heads."""
+    return _of_commits(found).where("line <> ''").select(under_prefix(F.col("line"), prefix).alias("path"), "at").where("path is not null")
 
 
 HOOKS = ("post-checkout", "post-merge", "post-rewrite")
