@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import pieces
+from ..operators import pieces, ranks
 from .testdata import _query, _t
 
 _HELD = "SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS word FROM documents"
@@ -58,3 +58,14 @@ def FL12_ladders_of_many(spark, d):
     ranked = met.select("needle", "id", rung.alias("rung"))
     best = ranked.groupBy("needle").agg(F.min("rung").alias("rung"))
     return ranked.join(best, ["needle", "rung"], "left_semi").select("needle", "id", "rung")
+
+
+_SEEN = "SELECT arg_max(o_orderdate, o_orderkey) AS d, max(o_orderkey) AS k FROM orders"
+
+
+@_query(f"SELECT o_orderkey, o_totalprice FROM orders, ({_SEEN}) WHERE o_orderdate > d OR (o_orderdate = d AND o_orderkey > k) ORDER BY o_orderdate, o_orderkey LIMIT 500")
+def TK02_page_after(spark, d):
+    """The page that follows the order of the highest number, sought by its key."""
+    orders = _t(spark, d, "orders")
+    last = orders.agg(F.max(F.struct("o_orderkey", "o_orderdate")).alias("s")).first().s
+    return ranks.after(orders, {"o_orderdate": last.o_orderdate, "o_orderkey": last.o_orderkey}, 500).select("o_orderkey", "o_totalprice")
