@@ -383,10 +383,8 @@ class Index:
         return graph.unseen(graph.with_dispatch_in(sure, decls, conf), sites if include_refs else sites.where("kind = 'call'"), decls)
 
     def _edges(self, tables: dict[str, DataFrame], include_refs: bool) -> tuple[DataFrame, DataFrame]:
-        decls, conf = tables["declarations"], tables["conformances"]
-        found = (tables["call_sites"], decls, tables["bindings"], conf, include_refs)
-        rows, pairs = graph.candidates(*found), graph.implementations(decls, conf)
-        return graph.with_dispatch_in(graph.callers(*found), decls, conf), graph.with_dispatch_out(graph.edges_out(rows), decls, pairs)
+        found = (tables["call_sites"], tables["declarations"], tables["bindings"], tables["conformances"], include_refs)
+        return graph.callers_with_dispatch(*found), graph.callees_with_dispatch(*found)
 
     def calls(self, query: str, callees: bool = False, depth: int = 2, least: str = "medium", limit: int | None = 25, include_refs: bool = False, tests_only: bool = False) -> DataFrame:
         """The call tree of the declaration that query means: callers, or callees."""
