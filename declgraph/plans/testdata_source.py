@@ -48,8 +48,10 @@ def _rows(names: str, *rows: tuple[str, ...]) -> str:
 
 
 def _files(spark, d) -> DataFrame:
-    """(k, path, content) of every supplier."""
+    """(k, path, content) of every supplier. A table of short rows may be read by one task, so they are dealt to all before they
+    become files."""
     s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+    s = s.repartition(4 * spark.sparkContext.defaultParallelism, "k")
     fill = {"{k}": F.col("k").cast("string"), "{n}": F.col("n").cast("string"), "{a}": F.element_at(F.array(*map(F.lit, _ACCESS)), (F.col("k") % 3 + 1).cast("int")), "{t}": F.element_at(F.array(*map(F.lit, _TYPE)), (F.col("n") % 3 + 1).cast("int"))}
     text = F.lit(_SOURCE)
     for name, value in fill.items():
