@@ -358,7 +358,7 @@ class Index:
                 if t != "conformances":
                     rows.write.parquet(str(draft / "around" / t))
                     tables[t] = self.spark.read.schema(rows.schema).parquet(str(draft / "around" / t))
-        made = self._sure_callers(tables, include_refs) if least else self._edges(tables, include_refs)[side == "callees"]
+        made = self._sure_callers(tables, include_refs) if least else self._edges(tables, include_refs, side)
         by = "origin" if side == "callees" else "target"
         made.repartitionByRange(by).sortWithinPartitions(by).write.parquet(str(draft / "rows"))
         shutil.rmtree(draft / "around", ignore_errors=True)
@@ -382,9 +382,9 @@ class Index:
         sure = graph.callers(sites, decls, tables["bindings"], conf, include_refs, least=graph.MEDIUM)
         return graph.unseen(graph.with_dispatch_in(sure, decls, conf), sites if include_refs else sites.where("kind = 'call'"), decls)
 
-    def _edges(self, tables: dict[str, DataFrame], include_refs: bool) -> tuple[DataFrame, DataFrame]:
+    def _edges(self, tables: dict[str, DataFrame], include_refs: bool, side: str) -> DataFrame:
         found = (tables["call_sites"], tables["declarations"], tables["bindings"], tables["conformances"], include_refs)
-        return graph.callers_with_dispatch(*found), graph.callees_with_dispatch(*found)
+        return graph.callees_with_dispatch(*found) if side == "callees" else graph.callers_with_dispatch(*found)
 
     def calls(self, query: str, callees: bool = False, depth: int = 2, least: str = "medium", limit: int | None = 25, include_refs: bool = False, tests_only: bool = False) -> DataFrame:
         """The call tree of the declaration that query means: callers, or callees."""
