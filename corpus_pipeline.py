@@ -26,11 +26,14 @@ _tables: list[str] = []
 
 
 def stage(f: Callable) -> Callable:
-    """A stage's result is written before the next stage begins, so its intermediate tables can go then."""
+    """A stage's result is written before the next stage begins, so its intermediate tables can go then, and so can what the
+    driver still holds of it."""
 
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         common.remove(spark, _tables)
+        common.give_back()
+        common.free(spark)
         with common.written() as tables:
             out = f(spark, docs, sf_dir)
         _tables[:] = tables
