@@ -85,7 +85,7 @@ def extract(files: DataFrame, call_sites: bool = True) -> DataFrame:
                 sites, bindings = (owned(got.sites), [b for b in owned(got.bindings) if b["owner"] is not None]) if call_sites else ([], [])
                 for column, rows in zip(columns, (decls, got.imports, sites, bindings), strict=True):
                     column.append(rows)
-            arrays = [pa.array([[{n.name: r.get(n.name) for n in f.type.value_type} for r in rows] for rows in c], f.type) for c, f in zip(columns, arrow, strict=True)]
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)]  # takes a struct's fields by name: what it lacks is null
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["path", *_ROWS])
 
     return files.select("path", "content").mapInArrow(run, f"path string, {fields}")
