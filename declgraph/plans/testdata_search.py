@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +12,14 @@ from .testdata import _query, _t
 _HELD = "SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS word FROM documents"
 
 
+#: Pairs of a needle and a word (some tens of bytes each) up to which they are broadcast to the texts; more are met by shuffle.
+MOST_PAIRS = 2_000_000
+
+
 def _held(spark, d) -> DataFrame:
-    """(doc_id, word), each once."""
-    return _t(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("word")).distinct()
+    """(doc_id, word), each once in a row of documents."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0)))
+    return _t(spark, d, "documents").select("doc_id", F.explode(words).alias("word"))
 
 
 def _asked(spark, d) -> DataFrame:
@@ -28,10 +34,19 @@ _ASKED = "SELECT DISTINCT needle FROM (SELECT unnest([n_name[1:1], n_name[1:2],
 
 @_query(f"WITH h AS ({_HELD}), w AS (SELECT DISTINCT word FROM h), a AS ({_ASKED}), m AS (SELECT needle, word FROM a JOIN w ON contains(lower(word), lower(needle))) SELECT needle, count(DISTINCT word)::BIGINT AS words, count(DISTINCT doc_id)::BIGINT AS docs FROM m JOIN h USING (word) GROUP BY 1")
 def FL04_words_holding(spark, d):
+    """Needles meet the words of all texts; documents are counted as bits of 64 ids each, so what a task holds is neither pairs
+    of a needle and a document nor their words."""
     held = _held(spark, d)
     found = pieces.posted(held, "word")
-    met = pieces.holding(_asked(spark, d), found, pieces.counted(found)).withColumnRenamed("term", "word")
-    return met.join(held, "word").groupBy("needle").agg(F.count_distinct("word").alias("words"), F.count_distinct("doc_id").alias("docs"))
+    met = pieces.holding(_asked(spark, d), found, pieces.counted(found)).persist(StorageLevel.DISK_ONLY)
+    few = met.limit(MOST_PAIRS + 1).count() <= MOST_PAIRS
+    needles = met.groupBy(F.col("term").alias("word")).agg(F.collect_list("needle").alias("needles"))
+    at = held.where("doc_id is not null").join(F.broadcast(needles) if few else needles, "word").select(F.explode("needles").alias("needle"), "doc_id")
+    bit = F.expr("shiftleft(1L, cast(doc_id & 63 as int))")
+    blocks = at.groupBy("needle", F.shiftright("doc_id", 6).alias("block")).agg(F.bit_or(bit).alias("ids"))
+    docs = blocks.groupBy("needle").agg(F.sum(F.bit_count("ids")).alias("docs"))
+    words = met.groupBy("needle").agg(F.count("*").alias("words"))
+    return words.join(docs, "needle", "left").select("needle", "words", F.coalesce("docs", F.lit(0).cast("long")).alias("docs"))
 
 
 _PARTS = "SELECT p_partkey AS id, p_brand || '.' || p_name AS decl_id, p_name AS name FROM part"
